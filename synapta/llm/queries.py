@@ -6,8 +6,9 @@ import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from synapta.llm import packing, token_store
+from synapta.llm import line_dedup, mixing, packing, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,5 +43,65 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(*token_store.write(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_token_files)}
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_shared_lines(_table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    return kept.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_token_files, op7_mixing)}
+
+#: DuckDB statements with the results of the queries of the same names.
 ORACLE: dict[str, str] = {}
+
+ORACLE["op2_line_dedup"] = r"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+numbered AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM split),
+keyed AS (
+  SELECT doc_id, i, line,
+         translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM numbered),
+shared AS (
+  SELECT key, max(doc_id) AS last_id FROM keyed WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (
+  SELECT k.doc_id, k.i, k.line, s.key IS NOT NULL AND k.doc_id <> s.last_id AS gone
+  FROM keyed k LEFT JOIN shared s ON k.key = s.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+ORACLE["op7_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+w AS (SELECT *, rank % 3 + 1 AS weight FROM s),
+t AS (SELECT sum(source_size)::BIGINT AS budget, sum(weight)::BIGINT AS weights FROM w),
+fill AS (
+  SELECT w.*, CAST(source_size AS DOUBLE) / weight AS reach,
+         CAST(budget - 3 * coalesce(sum(source_size) OVER p, 0)::BIGINT AS DOUBLE)
+           / (weights - coalesce(sum(weight) OVER p, 0)::BIGINT) AS level
+  FROM w, t WINDOW p AS (ORDER BY CAST(source_size AS DOUBLE) / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lv AS (SELECT level FROM fill WHERE weight * level <= 3 * source_size ORDER BY reach, rank LIMIT 1),
+target AS (SELECT source, source_size, least(3.0::DOUBLE * source_size, weight * (SELECT level FROM lv)) AS target FROM w),
+placed AS (
+  SELECT doc_id, d.source, k, size, source_size, target,
+         sum(size) OVER (PARTITION BY d.source ORDER BY k, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
+  FROM d JOIN target ON d.source IS NOT DISTINCT FROM target.source),
+queue AS (
+  SELECT placed.*, CASE WHEN target > 0 THEN CAST(epoch * source_size + upto AS DOUBLE) / target ELSE 0.0 END AS time, epoch
+  FROM placed, (SELECT unnest([0, 1, 2])::BIGINT AS epoch)),
+cut AS (
+  SELECT *, sum(size) OVER (ORDER BY time, k, epoch, size ROWS UNBOUNDED PRECEDING) <= (SELECT budget FROM t) AS fits FROM queue)
+SELECT doc_id, size, source_size, target, coalesce(sum(size) FILTER (WHERE fits), 0)::BIGINT AS taken
+FROM cut GROUP BY doc_id, k, size, source_size, target
+"""
