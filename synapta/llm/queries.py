@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synapta.llm import chat, line_dedup, mixing, ngram_join, packing, token_store
+from synapta.llm import chat, crf_quality, line_dedup, mixing, ngram_join, packing, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +64,28 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_token_files, op6_chat_trees, op7_mixing, op8_ngram_join)}
+def _held_out(scored: DataFrame, mod: int, out: int, least: float) -> DataFrame:
+    """The digest of a learnt score: rows whose crc32(doc_id) has this remainder taught nothing."""
+    return scored.select("doc_id", (_fold(mod) == out).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def _fold(mod: int):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % mod, F.lit(-1))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(_fold(5) != 0))
+    return _held_out(toxicity.score(docs.select("doc_id", "text"), model), 5, 0, 0.5)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = crf_quality.fit(docs, labels.filter(_fold(4) != 2))
+    return _held_out(crf_quality.score(docs.select("doc_id", "text"), model), 4, 2, 0.7)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_token_files, op6_chat_trees, op7_mixing, op8_ngram_join, op9_toxicity, op10_quality)}
 
 #: DuckDB statements with the results of the queries of the same names.
 ORACLE: dict[str, str] = {}
