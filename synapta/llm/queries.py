@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synapta.llm import chat, crf_quality, line_dedup, mixing, ngram_join, packing, token_store, toxicity
+from synapta.llm import ann, chat, crf_quality, line_dedup, mixing, ngram_join, packing, token_store, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     hostile = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", hostile), (-7, 1, "assistant", hostile)], "conv_id long, turn long, role string, text string")
@@ -85,7 +93,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(crf_quality.score(docs.select("doc_id", "text"), model), 4, 2, 0.7)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_token_files, op6_chat_trees, op7_mixing, op8_ngram_join, op9_toxicity, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_token_files, op4_nearest, op5_top_products, op6_chat_trees, op7_mixing, op8_ngram_join, op9_toxicity, op10_quality)}
 
 #: DuckDB statements with the results of the queries of the same names.
 ORACLE: dict[str, str] = {}
@@ -109,6 +117,17 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+ORACLE["op5_top_products"] = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
 ORACLE["op6_chat_trees"] = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
