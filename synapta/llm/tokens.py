@@ -20,6 +20,41 @@ _AWKWARD = re.compile(r"\s\s|\0")
 _encoders: dict[str, Encoder] = {}
 
 
+#: Bytes as the characters that stand for them in a byte-level vocabulary: printable ones stand
+#: for themselves, the others are numbered from 256.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_AS_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+class _Memo(dict):
+    """Ids of words, as bytes of 32-bit integers; words not met lately go to the tokenizer."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.merge, self.older = tokenizer, tokenizer.model.tokenize, {}
+        self.ends = {mark: self.whole(mark) for mark in ".,"}
+
+    def whole(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            if word[-1:] in self.ends and word[-2:-1].isalpha():
+                ids = self[word[:-1]] + self.ends[word[-1]]
+            elif word.removeprefix(" ").isalpha():  # one piece: it needs the merges alone
+                ids = array("I", [x.id for x in self.merge(word.encode().decode("latin-1").translate(_AS_CHARS))]).tobytes()
+            else:
+                ids = self.whole(word)
+        self[word] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > MEMO:
+            self.older = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Ids of texts as little-endian bytes of unsigned 32-bit integers."""
 
@@ -28,9 +63,7 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.ends = {mark: array("I", self.tokenizer.encode(mark, add_special_tokens=False).ids).tobytes() for mark in ".,"}
+        self.memo = _Memo(self.tokenizer)
 
     @staticmethod
     def cut(text: str | None) -> list[str]:
@@ -40,33 +73,13 @@ class Encoder:
             return _CUT.split(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
-    def learn(self, words: set[str]) -> None:
-        """Put the ids of all these words into the memo."""
-        new = words.difference(self.memo)
-        if len(self.memo) + len(new) > MEMO:
-            self.older, self.memo, new = self.memo, {}, words
-        memo, older = self.memo, self.older
-        fresh, ended = set(), []
-        for word in new:
-            if (ids := older.get(word)) is not None:
-                memo[word] = ids
-            elif word[-1:] in self.ends and word[-2:-1].isalpha():
-                ended.append(word)
-                fresh.add(word[:-1])
-            else:
-                fresh.add(word)
-        batch = list(fresh.difference(memo))
-        for word, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True):
-            memo[word] = array("I", e.ids).tobytes()
-        for word in ended:
-            memo[word] = memo[word[:-1]] + self.ends[word[-1]]
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null is empty."""
-        cuts = [self.cut(text) for text in texts]
-        self.learn(set().union(*cuts))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, words)) for words in cuts]
+        out = []
+        for text in texts:
+            self.memo.age()
+            out.append(b"".join(map(self.memo.__getitem__, self.cut(text))))
+        return out
 
 
 def encoder(path: str) -> Encoder:
