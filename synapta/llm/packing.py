@@ -80,11 +80,11 @@ class Windows:
             yield self.pop(i)
 
 
-_SCHEMA = "doc_id long, start long, ids array<int>, doc_tokens long, window long, offset long, leftover int"
+_SCHEMA = "doc_id long, start long, ids binary, doc_tokens long, window long, offset long, leftover int"
 
 
 def _pack_partition(path: str, size: int, most: int, least_piece: int, end_id: int):
-    arrow = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int32())), ("doc_tokens", pa.int64()), ("window", pa.int64()), ("offset", pa.int64()), ("leftover", pa.int32())])
+    arrow = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("window", pa.int64()), ("offset", pa.int64()), ("leftover", pa.int32())])
 
     def run(batches):
         from pyspark import TaskContext
@@ -102,11 +102,7 @@ def _pack_partition(path: str, size: int, most: int, least_piece: int, end_id: i
 
         def flush():
             nonlocal rows
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.cumsum([0, *[len(r[2]) // 4 for r in rows]]), pa.int32()),
-                pa.array(np.frombuffer(b"".join(r[2] for r in rows), "<i4")),
-            )
-            columns = [pa.array([r[i] for r in rows], f.type) if i != 2 else lists for i, f in enumerate(arrow)]
+            columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)]
             rows = []
             return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
@@ -153,8 +149,8 @@ def _merge(size: int):
 def pack(docs: DataFrame, path: str | None = None, size: int = 1024, open_windows: int = 32, least_piece: int = 32, end_id: int = 0) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) in sequences of at most ``size`` ids.
 
-    Returns doc_id, start, ids array<int>, doc_tokens, sequence_id, offset. The pieces of a
-    sequence lie side by side from offset 0; every id of every document is in one piece.
+    Returns doc_id, start, ids (binary, 4 bytes each, little-endian), doc_tokens, sequence_id,
+    offset. The pieces of a sequence lie side by side from offset 0; every id of every document is in one piece.
     """
     run = _pack_partition(path or default_path(), size, open_windows, least_piece, end_id)
     pieces = save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SCHEMA), "pack")
@@ -162,7 +158,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = 1024, open_window
     left = pieces.filter("leftover = 1")
     # At most ``open_windows`` rows a partition, grouped by neighbouring partitions: a bounded group.
     merged = (
-        left.select("window", F.size("ids").alias("n"))
+        left.select("window", (F.octet_length("ids") / 4).cast("long").alias("n"))
         .groupBy("window")
         .agg(F.sum("n").alias("fill"))
         .groupBy(F.shiftright("window", 32 + MERGED_PARTITIONS.bit_length() - 1).alias("part"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,24 +12,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _crc_of_pieces(batches):
-    for batch in batches:
-        lists = batch.column("ids")
-        flat, ends = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"), lists.value_lengths().to_numpy().cumsum()
-        crc, begin = [], 0
-        for end in ends.tolist():
-            crc.append(zlib.crc32(flat[begin:end].tobytes()))
-            begin = end
-        at = {n: batch.column(n) for n in batch.schema.names}
-        yield pa.RecordBatch.from_arrays(
-            [at["doc_id"], at["start"], lists.value_lengths().cast(pa.int64()), pa.array(crc, pa.int64()), at["doc_tokens"], at["sequence_id"], at["offset"]],
-            names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
-        )
-
-
 def digest_pieces(pieces: DataFrame) -> DataFrame:
     """Per piece its place and the crc32 of its ids."""
-    return pieces.mapInArrow(_crc_of_pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    length = (F.octet_length("ids") / 4).cast("long").alias("length")
+    return pieces.select("doc_id", "start", length, F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

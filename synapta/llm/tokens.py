@@ -2,7 +2,7 @@
 
 A byte-level BPE joins no non-space character with a space or line feed after it, so a text
 can be cut there without changing its ids (as long as no white space stands beside the
-cut's own), and a letter never joins a full stop or comma. Words recur: each worker keeps
+cut's own), and a letter never joins a punctuation mark after it. Words recur: each worker keeps
 the ids of the words it met last and sends only new ones to the tokenizer. ``tests/llm``
 holds this against encoding whole texts in one piece.
 """
@@ -24,6 +24,7 @@ _encoders: dict[str, Encoder] = {}
 #: for themselves, the others are numbered from 256.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _AS_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
 class _Memo(dict):
@@ -32,7 +33,6 @@ class _Memo(dict):
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer, self.merge, self.older = tokenizer, tokenizer.model.tokenize, {}
-        self.ends = {mark: self.whole(mark) for mark in ".,"}
 
     def whole(self, word: str) -> bytes:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
@@ -40,8 +40,9 @@ class _Memo(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            if word[-1:] in self.ends and word[-2:-1].isalpha():
-                ids = self[word[:-1]] + self.ends[word[-1]]
+            stem = word.rstrip(_MARKS)
+            if len(stem) < len(word) and stem.removeprefix(" ").isalpha():  # a letter and a mark never join
+                ids = self[stem] + self[word[len(stem) :]]
             elif word.removeprefix(" ").isalpha():  # one piece: it needs the merges alone
                 ids = array("I", [x.id for x in self.merge(word.encode().decode("latin-1").translate(_AS_CHARS))]).tobytes()
             else:
