@@ -4,7 +4,8 @@ Sources sorted by code point (null last) weigh ``weights`` in turn and share the
 words; no target exceeds ``epochs`` times its source, the excess going to the others by weight
 (water filling). Every document of every epoch has a virtual finish time: the words of its
 source up to and with it, in a pseudo-random order, divided by the source's target. The mix
-takes documents by finish time until the next one would exceed the budget.
+takes documents by finish time until the next one would exceed the budget; what would begin
+when its source has reached its target does not queue, so no source is off by more than a document.
 
 All running totals come from a range exchange (``shared.running_total``), never from a window
 over a source, so a source with a third of all rows is spread like any other. What finishes by
@@ -58,12 +59,13 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int
         F.when(F.col("target") > 0, (e * F.col("source_size") + within).cast("double") / F.col("target")).otherwise(0.0).alias(f"time{e}")
         for e in range(epochs)
     ]
-    timed = save(joined.select("d.doc_id", "d.source", "size", "source_size", "target", "key", *times), "mix-times")
+    timed = save(joined.select("d.doc_id", "d.source", "size", "source_size", "target", "key", (within - F.col("size")).alias("begin"), *times), "mix-times")
 
     # All that finishes by time 1 fits: it is at most the sum of the targets. The rest is sorted to find the cut.
     in_time = sum((F.when(F.col(f"time{e}") <= 1, F.col("size")).otherwise(0) for e in range(epochs)), F.lit(0))
     left = budget - F.lit(timed.agg(F.sum(in_time)).first()[0] or 0)
-    late = timed.select("size", "key", F.posexplode(F.array(*[f"time{e}" for e in range(epochs)])).alias("epoch", "time")).filter("time > 1")
+    late = timed.select("size", "key", "begin", "source_size", "target", F.posexplode(F.array(*[f"time{e}" for e in range(epochs)])).alias("epoch", "time"))
+    late = late.filter("time > 1 and epoch * source_size + begin < target").select("size", "key", "epoch", "time")
     late = running_total(late, [F.col("time"), F.col("key"), F.col("epoch"), F.col("size")], ["size"], "mix-cut")
     last = late.filter(F.col("before_size") + F.col("size") <= left).orderBy(F.desc("time"), F.desc("key"), F.desc("epoch")).first()
     copies = F.lit(0)
@@ -72,7 +74,8 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int
         taken = time <= 1
         if last:
             tied = (F.col("key") < last["key"]) | ((F.col("key") == last["key"]) & F.lit(e <= last["epoch"]))
-            taken = taken | (time < last["time"]) | ((time == last["time"]) & tied)
+            begins = e * F.col("source_size") + F.col("begin") < F.col("target")
+            taken = taken | (begins & ((time < last["time"]) | ((time == last["time"]) & tied)))
         copies = copies + F.when(taken, 1).otherwise(0)
     return timed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 

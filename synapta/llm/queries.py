@@ -149,11 +149,13 @@ placed AS (
   FROM d JOIN target ON d.source IS NOT DISTINCT FROM target.source),
 queue AS (
   SELECT placed.*, CASE WHEN target > 0 THEN CAST(epoch * source_size + upto AS DOUBLE) / target ELSE 0.0 END AS time, epoch
-  FROM placed, (SELECT unnest([0, 1, 2])::BIGINT AS epoch)),
+  FROM placed, (SELECT unnest([0, 1, 2])::BIGINT AS epoch)
+  WHERE epoch * source_size + upto - size < target OR size = 0),
 cut AS (
   SELECT *, sum(size) OVER (ORDER BY time, k, epoch, size ROWS UNBOUNDED PRECEDING) <= (SELECT budget FROM t) AS fits FROM queue)
 SELECT doc_id, size, source_size, target, coalesce(sum(size) FILTER (WHERE fits), 0)::BIGINT AS taken
-FROM cut GROUP BY doc_id, k, size, source_size, target
+FROM placed LEFT JOIN (SELECT doc_id, k, size, upto, source, fits FROM cut) cut USING (doc_id, k, size, upto)
+GROUP BY doc_id, size, upto, source_size, target
 """
 
 ORACLE["op8_ngram_join"] = r"""
