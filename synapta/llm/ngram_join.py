@@ -89,7 +89,8 @@ class Bands:
         """Parts, and how many empty ones a document may leave out."""
         most = self.starts[band + 1] - 1
         differ = most * (self.den - self.num) // self.num
-        spare = 1 + differ // 100 if differ >= 5 else 0
+        # Parts of a set of the least size have about num/(den-num) elements: so many are empty.
+        spare = 1 + int(1.5 * differ * np.exp(-self.num / (self.den - self.num))) if differ >= 5 else 0
         return differ + 1 + 2 * spare, spare
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
