@@ -116,13 +116,102 @@ def type_half_life(kind: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.lower(kind)), F.lit(30.0))
 
 
-def capitalized(text: Column) -> Column:
-    """Phrases of two or more capitalized words, in order of appearance."""
-    return F.regexp_extract_all(text, F.lit(r"([A-Z][a-z]+(?: [A-Z][a-z]+)+)"), F.lit(1))
+def capitalized(text: Column, most: int = 5) -> Column:
+    """The first capitalized phrases that are not mere pronouns or articles."""
+    found = F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"), F.lit(1))
+    return F.slice(F.filter(found, lambda x: ~x.isin(*NO_ENTITIES)), 1, most)
+
+
+# Capitalized words that name nothing; months and days in time expressions.
+NO_ENTITIES = ("I", "The", "A", "An", "This", "That", "It", "He", "She", "We", "They")
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+DAYS = "Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday"
+TIME_PATTERNS = {
+    "date": rf"(?i)\b((?:{MONTHS})[\s,]+\d{{1,2}}(?:[\s,]+\d{{4}})?)\b",
+    "year": r"(?i)\b((?:in\s+)?(?:19|20)\d{2})\b",
+    "relative": rf"(?i)\b((?:last|next|this)\s+(?:week|month|year|{DAYS}))\b",
+    "day": rf"(?i)\b({DAYS})\b",
+}
 
 
 def time_expressions(text: Column) -> Column:
-    """Dates, years, relative days and weekdays, in order of appearance."""
-    return F.regexp_extract_all(
-        F.lower(text), F.lit(r"(\d{1,2}/\d{1,2}/\d{2,4}|\b(?:19|20)\d{2}\b|\b(?:yesterday|today|tomorrow|last week|next week|last month|next month)\b|\b(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b)"), F.lit(1)
-    )
+    """Structs (kind, value): dates, then years, relative times, and weekdays."""
+    def found(kind, pattern):
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    return F.concat(*[found(k, p) for k, p in TIME_PATTERNS.items()])
+
+
+# What makes a message worth keeping, what makes it noise, and what raises its importance.
+IMPORTANT = (
+    r"(?:remember|note|important|don't forget|make sure to)",
+    r"(?:my name is|i am|i'm)\s+\w+",
+    r"(?:i prefer|i like|i hate|i love)",
+    r"(?:user's|my)\s+(?:name|preference|location|timezone)",
+    r"(?:set|create|add)\s+(?:a\s+)?(?:reminder|task|event)",
+    r"(?:todo|to-do|task).*?:",
+    r"(?:@\w+|mentions?)\s*:",
+)
+NOISE = (
+    r"^[\s\n]*$",
+    r"^(?:hello|hi|hey|okay|ok|yes|no|yep|nope)[\s\.\!]*$",
+    r"^[\s]*(?:thanks?|thank you|cheers)[\s\!]*$",
+    r"^(?:what|how|when|where|why|who|which)\s+\w+.*\?$",
+    r"^(?:can you|could you|would you|please)\s+\w+",
+)
+WEIGHTY = ("remember", "important", "don't forget", "preference", "name is", "always", "never", "task", "todo", "deadline")
+TAG_PATTERNS = {
+    "topic": r"(?i)(?:about|topic|subject)\s*:?\s*(\w+)",
+    "event": r"(?i)(?:meeting|call|event)\s*:?\s*([^\n]+)",
+    "task": r"(?i)(?:task|todo)\s*:?\s*([^\n]+)",
+}
+
+
+def matches_any(text: Column, patterns: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for p in patterns:
+        out = out | text.rlike("(?i)" + p)
+    return out
+
+
+def worth_keeping(text: Column) -> Column:
+    size = F.length(F.trim(text))
+    return F.when(matches_any(text, IMPORTANT), True).when(matches_any(text, NOISE), False).otherwise(size > 100)
+
+
+def message_importance(text: Column) -> Column:
+    size = F.length(F.trim(text))
+    score = F.lit(0.5) + F.when(size > 200, 0.2).when(size < 50, -0.1).otherwise(0.0)
+    for word in WEIGHTY:
+        score = score + F.when(F.lower(text).contains(word), 0.1).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+
+
+def message_tags(text: Column, most: int = 5) -> Column:
+    """Hash tags and at most two topics, events and tasks; sorted, so the choice of five is stable."""
+    def found(kind, pattern):
+        hits = F.filter(F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), 1, 2), lambda m: F.length(m) > 2)
+        return F.transform(hits, lambda m: F.concat(F.lit(kind + ":"), F.substring(F.lower(m), 1, 20)))
+
+    tags = [F.transform(F.regexp_extract_all(text, F.lit(r"#(\w+)"), F.lit(1)), lambda t: F.concat(F.lit("tag:"), F.lower(t)))]
+    tags += [found(k, p) for k, p in TAG_PATTERNS.items()]
+    return F.slice(F.array_sort(F.array_distinct(F.concat(*tags))), 1, most)
+
+
+# Relation patterns of a subject, a relation and an object.
+RELATIONS = (
+    (r"([A-Z][a-z]+)\s+(?:is|was)\s+(?:a|an)?\s*([a-z]+)\s+(?:of|at|in)\s+([A-Z][a-z]+)", None),
+    (r"([A-Z][a-z]+)\s+(?:works?|worked)\s+(?:at|for)\s+([A-Z][a-z]+)", "works_at"),
+    (r"([A-Z][a-z]+)\s+(?:moved|went)\s+to\s+([A-Z][a-z]+)", "moved_to"),
+)
+
+
+def triples(text: Column) -> Column:
+    """Structs (subject, relation, object) of all patterns."""
+    def found(pattern, name):
+        group = lambda i: F.regexp_extract_all(text, F.lit(pattern), F.lit(i))
+        relation = group(2) if name is None else F.transform(group(1), lambda _: F.lit(name))
+        zipped = F.arrays_zip(group(1).alias("subject"), relation.alias("relation"), group(3 if name is None else 2).alias("object"))
+        return F.transform(zipped, lambda t: F.struct(t["subject"].alias("subject"), t["relation"].alias("relation"), t["object"].alias("object")))
+
+    return F.concat(*[found(p, name) for p, name in RELATIONS])

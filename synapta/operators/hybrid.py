@@ -51,14 +51,22 @@ def route(query: Column, automatic: bool = True) -> Column:
     return F.when(exact, "keyword").when(n < 3, "keyword").when(n > 5, "semantic").otherwise("hybrid")
 
 
-def explain(source: Column, score: Column) -> Column:
-    label = F.when(source == "both", "Found in both keyword and semantic results").when(source == "keyword", "Keyword match only").otherwise("Semantic match only")
-    return F.concat(label, F.lit(" (score "), F.format_string("%.4f", score), F.lit(")"))
+def explain(query: Column, strategy: Column) -> Column:
+    """Why a strategy is recommended for a query."""
+    n = F.size(F.filter(F.split(query, r"\s+"), lambda x: x != ""))
+    exact = query.contains("exact") | query.contains("quote") | query.contains('"')
+    line = lambda head, tail: F.concat(F.lit(f"{head} ("), n, F.lit(f" words){tail}"))
+    return (
+        F.when((strategy == "keyword") & exact, line("Keyword search recommended: query contains exact-match indicators", ""))
+        .when(strategy == "keyword", line("Keyword search recommended: short query", " benefits from exact matching"))
+        .when(strategy == "semantic", line("Semantic search recommended: natural language query", " benefits from conceptual matching"))
+        .otherwise(line("Hybrid search recommended: balanced query", " benefits from both exact and conceptual matching"))
+    )
 
 
 # Words that mark a temporal or a relational question.
-TEMPORAL_WORDS = ("when", "date", "time", "year", "month", "day", "before", "after", "first", "last")
-RELATION_WORDS = ("who", "relationship", "related", "between", "friend", "family", "works with", "connected")
+TEMPORAL_WORDS = ("when", "what time", "what year", "what month", "date", "how long", "how many years")
+RELATION_WORDS = ("friend", "colleague", "manager", "sibling", "parent", "child", "who")
 
 
 def route_question(question: Column, category: Column) -> Column:

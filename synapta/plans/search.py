@@ -171,12 +171,14 @@ def k5_route(spark, d):
     return q.select("id", H.route(F.col("q")).alias("route"))
 
 
-@query(_LISTS + "SELECT doc_id, CASE source WHEN 'both' THEN 'Found in both keyword and semantic results' WHEN 'keyword' THEN 'Keyword match only' ELSE 'Semantic match only' END || ' (rank ' || coalesce(kr, er) || ')' AS why FROM f")
+@query(f"""SELECT id::BIGINT AS id, CASE WHEN q LIKE '%exact%' OR q LIKE '%quote%' OR q LIKE '%"%' THEN 'Keyword search recommended: query contains exact-match indicators (' || n || ' words)'
+  WHEN n < 3 THEN 'Keyword search recommended: short query (' || n || ' words) benefits from exact matching'
+  WHEN n > 5 THEN 'Semantic search recommended: natural language query (' || n || ' words) benefits from conceptual matching'
+  ELSE 'Hybrid search recommended: balanced query (' || n || ' words) benefits from both exact and conceptual matching' END AS why
+FROM (SELECT *, len(list_filter(regexp_split_to_array(q, '\\s+'), lambda x: x <> '')) AS n FROM (VALUES {_QV}) t(id, q))""")
 def k6_explain(spark, d):
-    k, e = _keyword(spark, d), _semantic(spark, d)
-    both = H.rrf(k, e).join(k.select("doc_id", F.col("rank").alias("kr")), "doc_id", "left").join(e.select("doc_id", F.col("rank").alias("er")), "doc_id", "left")
-    why = F.regexp_replace(H.explain(F.col("source"), F.col("score")), r" \(score.*", "")
-    return both.select("doc_id", F.concat(why, F.lit(" (rank "), F.coalesce("kr", "er"), F.lit(")")).alias("why"))
+    q = spark.createDataFrame(list(enumerate(_Q)), "id long, q string")
+    return q.select("id", H.explain(F.col("q"), H.route(F.col("q"))).alias("why"))
 
 
 QUESTIONS = [(1, "the that of onto", 1), (2, "with thon from", 2), (3, "de la que", 3), (4, "and tion ther", 4)]
@@ -243,15 +245,17 @@ def k11_hierarchical(spark, d):
     return facts.groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "content"))), lambda x: x["content"]), "\n").alias("summary"), F.sum("n").alias("tokens"))
 
 
-EVENTS = [(1, "Alice met Bob Smith on 3/4/2023 and again yesterday"), (2, "Nothing here"), (3, "Carol Jones moved in 2021, last week Bob Smith came on Monday"), (4, "Alice Cooper sang in 1999")]
+EVENTS = [(1, "Alice met Bob Smith on March 4, 2023 and again last week"), (2, "Nothing here"), (3, "Carol Jones moved in 2021, next month Bob Smith came on Monday"), (4, "The Band sang in 1999 on friday")]
+_TIMES = " || ".join(f"list_transform(regexp_extract_all(text, '{p}', 1), lambda v: '{k}=' || v)" for k, p in X.TIME_PATTERNS.items())
 
 
-@query("""WITH t AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, '{t}')" for i, t in EVENTS) + """) t(id, text)),
-e AS (SELECT id, unnest(list_slice(regexp_extract_all(text, '([A-Z][a-z]+(?: [A-Z][a-z]+)+)', 1), 1, 2)) AS entity, regexp_extract_all(lower(text), '(\\d{1,2}/\\d{1,2}/\\d{2,4}|\\b(?:19|20)\\d{2}\\b|\\b(?:yesterday|today|tomorrow|last week|next week|last month|next month)\\b|\\b(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday)\\b)', 1) AS times FROM t)
+@query("WITH t AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in EVENTS) + f""") t(id, text)),
+e AS (SELECT id, unnest(list_slice(list_filter(regexp_extract_all(text, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1), lambda x: x NOT IN {X.NO_ENTITIES}), 1, 2)) AS entity, {_TIMES} AS times FROM t)
 SELECT entity, id::BIGINT AS id, array_to_string(times, '|') AS times, row_number() OVER (PARTITION BY entity ORDER BY id)::BIGINT AS event FROM e WHERE len(times) > 0 QUALIFY event <= 5""")
 def k12_timeline(spark, d):
     t = spark.createDataFrame(EVENTS, "id long, text string")
-    e = t.select("id", F.explode(F.slice(X.capitalized(F.col("text")), 1, 2)).alias("entity"), X.time_expressions(F.col("text")).alias("times")).filter(F.size("times") > 0)
+    times = F.transform(X.time_expressions(F.col("text")), lambda x: F.concat(x["kind"], F.lit("="), x["value"]))
+    e = t.select("id", F.explode(F.slice(X.capitalized(F.col("text")), 1, 2)).alias("entity"), times.alias("times")).filter(F.size("times") > 0)
     n = F.row_number().over(Window.partitionBy("entity").orderBy("id")).cast("long")
     return e.select("entity", "id", F.array_join("times", "|").alias("times"), n.alias("event")).filter("event <= 5")
 
