@@ -25,6 +25,7 @@ import struct
 import zlib
 from array import array
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -38,6 +39,7 @@ _HEAD = struct.Struct("<4s8sIB")
 _ENTRY = struct.Struct("<BqQQ")
 #: The dictionary's sample: at most so many documents, of at most so many bytes each.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 256, 32_768, 65_536
+LEVEL = 1
 #: A shard is closed beyond so many bytes of frames.
 SHARD_BYTES = 4 << 20
 
@@ -48,7 +50,7 @@ def dictionary_hash(dictionary: bytes) -> bytes:
 
 def serialize(ids: bytes, width: int) -> bytes:
     """Bytes of 32-bit ids as ids of ``width`` bytes."""
-    return ids if width == 4 else array("H", array("I", ids)).tobytes()
+    return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
 
 
 def train(docs: DataFrame, path: str, width: int) -> bytes:
@@ -92,13 +94,13 @@ class Shard:
     def __len__(self) -> int:
         return len(self.entries)
 
-    def ids(self, i: int) -> array:
+    def ids(self, i: int) -> np.ndarray:
         """Ids of the i-th document; reads only its own frame."""
         _, _, at, n = self.entries[i]
         end = self.entries[i + 1][2] if i + 1 < len(self.entries) else self.size
         self.file.seek(at)
         raw = self.decompressor.decompress(self.file.read(end - at), max_output_size=max(1, n * self.width))
-        return array("H" if self.width == 2 else "I", raw)
+        return np.frombuffer(raw, f"<u{self.width}").astype("<u4")
 
     def doc_id(self, i: int) -> int | None:
         return self.entries[i][1] if self.entries[i][0] else None
@@ -120,7 +122,10 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 0) -> tuple[Da
 
     def encode(batches):
         tok, end = encoder(path), array("I", [end_id]).tobytes()
-        squeeze = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_content_size=False)
+        known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if known:
+            known.precompute_compress(level=LEVEL)
+        squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False)
         for batch in batches:
             docs, texts = batch.column("doc_id"), batch.column("text")
             for a, b in text_groups(texts):
@@ -169,7 +174,7 @@ def read(manifest: DataFrame, folder: str, dictionary: bytes) -> DataFrame:
                     shard, rows = Shard(file, dictionary), []
                     for i in range(len(shard)):
                         ids = shard.ids(i)
-                        rows.append((shard.doc_id(i), before, len(ids), zlib.crc32(array("I", ids).tobytes())))
+                        rows.append((shard.doc_id(i), before, len(ids), zlib.crc32(ids)))
                         before += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
