@@ -126,7 +126,7 @@ def p3_bulk_update(spark, d):
     return G.update_where(_e(spark, d), F.col("entity_type") == "part", relevance=C.boosted(F.col("relevance"))).select("entity_id", "relevance")
 
 
-_PH = f""", t AS (SELECT memory_id, regexp_replace(regexp_replace(content, 'Round \\d+:\\s*User:\\s*', '', 'g'), '\\s*\\|\\s*Assistant:\\s*', ' ', 'g') AS x FROM memories WHERE session_id = 'en'),
+_PH = f""", t AS (SELECT memory_id, regexp_replace(regexp_replace(content, 'Round \\d+:\\s*User:\\s*', '', 'g'), '\\s*\\|\\s*Assistant:\\s*', ' ', 'g') AS x FROM memories WHERE strlen(content) = len(content)),
 l AS (SELECT memory_id, list_slice(regexp_extract_all(x, '\\b([A-Z][a-zA-Z]+(?:\\s+[A-Z][a-zA-Z]+)*)\\b', 1), 1, 5) || regexp_extract_all(x, '\\b([A-Z][a-zA-Z]{{2,}})\\b', 1) AS ls FROM t),
 u AS (SELECT memory_id, unnest(ls) AS label, generate_subscripts(ls, 1) AS pos FROM l),
 n AS (SELECT lower(trim(label)) AS key, min(memory_id * 1000000 + pos) AS place FROM u WHERE lower(trim(label)) NOT IN ({", ".join(f"'{w}'" for w in STOP)}) GROUP BY 1) """
@@ -134,7 +134,7 @@ n AS (SELECT lower(trim(label)) AS key, min(memory_id * 1000000 + pos) AS place
 
 @query(V.sql(_PH + ", h AS (SELECT * FROM n ORDER BY place LIMIT 3) SELECT h.key AS \"from\", n.key AS \"to\" FROM h JOIN n ON h.place < n.place", "memories"))
 def p4_graph_from_memories(spark, d):
-    return G.hub_edges(G.graph_from_phrases(V.memories(spark, d).filter("session_id = 'en'"), tuple(STOP)))
+    return G.hub_edges(G.graph_from_phrases(V.memories(spark, d).filter("octet_length(content) = length(content)"), tuple(STOP)))
 
 
 _DEC = "CASE WHEN is_stable OR days_since_decay < 0.01 THEN relevance ELSE greatest(0.01e0, relevance * pow(0.5e0, days_since_decay / half_life_days)) END"
