@@ -43,7 +43,7 @@ def cosine(a: Column, b: Column) -> Column:
     """In [-1, 1]; 0 for different lengths or a zero vector."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     value = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / F.nullif(norm, F.lit(0.0))))
-    return F.when(F.size(a) == F.size(b), F.coalesce(value, F.lit(0.0))).otherwise(0.0)
+    return F.when((F.size(a) == F.size(b)) & (norm > 0), value).otherwise(0.0)
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

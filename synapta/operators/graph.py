@@ -162,3 +162,8 @@ def hub_edges(nodes: DataFrame, hubs: int = 3) -> DataFrame:
     w = Window.orderBy("at")
     first = nodes.orderBy("at").limit(hubs).withColumn("i", F.row_number().over(w))
     return F.broadcast(first).alias("h").join(nodes.alias("n"), F.col("h.at") < F.col("n.at")).select(F.col("h.key").alias("from"), F.col("n.key").alias("to"))
+
+
+def records_for(records: DataFrame, entity_id: str) -> DataFrame:
+    """Evolution records (entity_ids, seq, ...) that touch an entity, in order."""
+    return records.filter(F.array_contains("entity_ids", entity_id)).orderBy("seq")

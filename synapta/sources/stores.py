@@ -181,3 +181,11 @@ def from_markdown(text: Column, schema: str) -> Column:
     """Struct (frontmatter, content); null frontmatter for a text without a valid one."""
     part = lambda i: F.regexp_extract(text, r"(?s)^---\s*(.*?)\s*---\s*(.*)$", i)
     return F.struct(F.from_json(F.nullif(part(1), F.lit("")), schema).alias("frontmatter"), part(2).alias("content"))
+
+
+def find_category(ontology: DataFrame, top: str, first: str | None = None, second: str | None = None) -> DataFrame:
+    """Entries of a category, as far as it is given."""
+    for column, value in (("top_category", top), ("first_category", first), ("second_category", second)):
+        if value is not None:
+            ontology = ontology.filter(F.col(column) == value)
+    return ontology
