@@ -1,20 +1,20 @@
 """Operator 8: join of documents whose word n-gram sets have a Jaccard similarity of at least t.
 
 1. Equal sets form one class with one representative (a partial aggregate on a 128-bit hash).
-2. Candidates, without loss: sets a, b that link differ in at most U/9 (for t = .9, in general
-   U(1-t)/t) elements, U being the largest size in the band of the smaller. Each band cuts the
-   hash range into more parts than that, so one part at least is equal in both. A document
-   signs the parts of its own band, and of the next smaller one where a partner can be there.
-   Empty parts say little: with 2e spare parts a document may leave out e of them.
-3. Documents with a signature in common are tested against the smallest of them. That links
-   the bulk of any group in linear work.
-4. What shares a signature and still is in different components is compared in tiles: blocks
-   of documents in the order of candidate component and size, of bounded bytes; only blocks
-   of one candidate component whose size bands are compatible meet, and never two blocks of a
-   candidate component's main body. In a tile every set has a hashed bitmap; the
-   bits that only one of two sets has bound their overlap from above, and only what passes
-   gets the exact intersection of the sorted arrays. A tile returns a spanning set of links.
-5. Components of all links, by contraction.
+2. Candidates, without loss: two sets that link share one of their first n - ceil(t n) + 1
+   elements in any order that is the same for all. The order is by hash, with the n-grams last
+   that a bounded sample found in several documents, so shared passages seldom make candidates.
+3. The documents that have an element are sorted by size and cut into bands wherever the next
+   size is too far from the one before; bands of one document make no candidates.
+4. The documents of a band are tested against the smallest of them. That links the bulk of any
+   group in linear work.
+5. Bands whose documents still are in different components are compared in tiles: blocks of
+   bounded rows in the order of band and size; only blocks of one band whose sizes are compatible
+   meet, and never two blocks of a band's main body (its largest component).
+6. Every test first bounds the overlap from above: each set has a hashed bitmap, and every bit
+   that only one of two sets has is an element that the other lacks. Only what passes gets the
+   exact intersection of the sorted arrays, which are made for these documents alone.
+7. Components of all links, by contraction.
 
 Edge cases: null or white-space text has an empty set and links with nothing; a null ``doc_id``
 links with nothing and has a null component; equal rows are copies; empty tables give empty
@@ -26,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from synapta.llm.components import components
@@ -36,7 +36,11 @@ from synapta.llm.tokens import text_groups
 _M1, _M2, _M3, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD))
 _S = np.uint64(32)
 #: Ids that may be broadcast (8 bytes each); beyond, the join shuffles. Blocks of a tile: rows and bytes.
-BROADCAST_IDS, BLOCK_ROWS, BLOCK_BYTES = 1_000_000, 512, 8 << 20
+BROADCAST_IDS, BLOCK_ROWS, BLOCK_BYTES = 1_000_000, 512, 4 << 20
+#: Documents in the sample that finds common n-grams, documents that make one common, and n-grams kept.
+SAMPLE_DOCS, COMMON_DOCS, COMMON_MOST = 16_384, 2, 400_000
+#: Bits per element of the bitmaps (rounded up to a power of two in all).
+BITS = 1
 #: Word hashes that a worker keeps.
 MEMO = 500_000
 
@@ -73,48 +77,15 @@ def shingles(text: str | None, n: int) -> np.ndarray:
         return np.unique(_mix(x))
 
 
-class Bands:
-    """Size bands and, for each, how many parts its signatures have."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.starts = [1]
-
-    def of(self, size: int) -> int:
-        while self.starts[-1] <= size:
-            self.starts.append(max(self.starts[-1] + 1, self.starts[-1] * 5 // 4))
-        return int(np.searchsorted(self.starts, size, "right")) - 1
-
-    def parts(self, band: int) -> tuple[int, int]:
-        """Parts, and how many empty ones a document may leave out."""
-        most = self.starts[band + 1] - 1
-        differ = most * (self.den - self.num) // self.num
-        # Parts of a set of the least size have about num/(den-num) elements: so many are empty.
-        spare = 1 + int(1.5 * differ * np.exp(-self.num / (self.den - self.num))) if differ >= 5 else 0
-        return differ + 1 + 2 * spare, spare
-
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        """Signatures of a sorted set: equal wherever a partner has an equal part."""
-        n, out = len(s), []
-        band = self.of(n)
-        smaller = -(-n * self.num // self.den)
-        bands = range(self.of(smaller), band + 1)
-        with np.errstate(over="ignore"):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(s * _M3), dtype=np.uint64)])
-            for k in bands:
-                m, spare = self.parts(k)
-                if m == 1:
-                    continue  # only equal sets link
-                cuts = np.searchsorted(s, (np.arange(1, m, dtype=np.float64) / m * 2.0**64).astype(np.uint64))
-                ends = np.concatenate([[0], cuts, [n]])
-                sizes = np.diff(ends)
-                sig = _mix(_mix(sums[ends[1:]] - sums[ends[:-1]] + _M1 * sizes.astype(np.uint64)) + np.arange(m, dtype=np.uint64) * _M2 + np.uint64(k) * _M1)
-                if spare:
-                    keep = np.ones(m, bool)
-                    keep[np.flatnonzero(sizes == 0)[:spare]] = False
-                    sig = sig[keep]
-                out.append(sig)
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def prefix(s: np.ndarray, common: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The elements of a sorted set of which one at least is in the prefix of every set that links with it."""
+    n = len(s)
+    kept = n + (-num * n) // den + 1  # n - ceil(t n) + 1
+    if len(common):
+        last = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+        if last[:kept].any():
+            return np.concatenate([s[~last], s[last]])[:kept]
+    return s[:kept]
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -133,97 +104,168 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    """A row of 64-bit words per set: bit h mod ``bits`` of every element."""
-    out = np.zeros((len(sets), bits // 64), np.uint64)
-    for row, s in zip(out, sets, strict=True):
-        at = s & np.uint64(bits - 1)
-        np.bitwise_or.at(row, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return out
+def bitmap(s: np.ndarray, per_element: int) -> np.ndarray:
+    """64-bit words of a bitmap with bit h mod size set for every element."""
+    bits = max(64, 1 << int(per_element * max(1, len(s)) - 1).bit_length())
+    flags = np.zeros(bits, bool)
+    flags[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").view("<u8")
+
+
+def fold(words: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (last axis) of a smaller size: the same elements modulo that size."""
+    while words.shape[-1] > size:
+        half = words.shape[-1] // 2
+        words = words[..., :half] | words[..., half:]
+    return words
+
+
+def most_overlap(a: np.ndarray, na, b: np.ndarray, nb) -> np.ndarray:
+    """Upper bound of the overlap of sets with bitmaps a and b (rows) and sizes na and nb."""
+    size = min(a.shape[-1], b.shape[-1])
+    a, b = fold(a, size), fold(b, size)
+    only_a = np.bitwise_count(a & ~b).sum(-1, dtype=np.int64)
+    only_b = np.bitwise_count(b & ~a).sum(-1, dtype=np.int64)
+    return np.minimum(na - only_a, nb - only_b)
+
 
+def may_link(most, na, nb, num: int, den: int):
+    return den * most >= num * (na + nb - most)
 
-def tile_links(sets: list[np.ndarray], body: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that join different bodies: rows ``left`` against rows ``right``.
 
-    ``body`` numbers what is joined already; pairs of one body are never tested, and links found
-    join bodies at once, so at most one link for each pair of bodies is returned.
+def tile_links(maps: list[np.ndarray], sizes: np.ndarray, body: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Links between rows ``left`` and ``right`` of different bodies (``body`` numbers what is joined already).
+
+    With ``sets`` links are exact, and each joins two bodies at once: the result spans what belongs
+    together. Without, a link is what the bitmaps allow, and the result spans the rows that have one,
+    whatever their bodies: every row with an allowed partner is in it, together with that partner.
     """
-    sizes = np.array([len(s) for s in sets], np.int64)
-    bits = max(64, 1 << int(4 * max(1, sizes.max()) - 1).bit_length())
-    maps, links, body = bitmaps(sets, bits), [], body.copy()
+    words = np.array([len(m) for m in maps], np.int64)
+    tables = {w: (rows := right[words[right] == w], np.stack([maps[j] for j in rows])) for w in np.unique(words[right]).tolist()}
+    body, out = body.copy(), []
+    group = np.arange(len(body)) if sets is None else body
     for i in left.tolist():
-        others = right[(body[right] != body[i]) & (den * np.minimum(sizes[right], sizes[i]) >= num * np.maximum(sizes[right], sizes[i]))]
-        if not len(others):
-            continue
-        # Each bit that only one set has is at least one element that the other lacks.
-        only_i = np.bitwise_count(maps[i] & ~maps[others]).sum(1, dtype=np.int64)
-        only_j = np.bitwise_count(maps[others] & ~maps[i]).sum(1, dtype=np.int64)
-        most = np.minimum(sizes[i] - only_i, sizes[others] - only_j)
-        passed = den * most >= num * (sizes[i] + sizes[others] - most)
-        for j in others[passed][np.argsort(-most[passed], kind="stable")].tolist():
-            if body[j] != body[i] and linked(sets[i], sets[j], num, den):
-                links.append((i, j))
-                body[body == body[j]] = body[i]
-    return links
-
-
-def _sets(raw: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+        for rows, table in tables.values():
+            ok = (body[rows] != body[i]) & (group[rows] != group[i]) & (den * np.minimum(sizes[rows], sizes[i]) >= num * np.maximum(sizes[rows], sizes[i]))
+            if not ok.any():
+                continue
+            most = most_overlap(maps[i], sizes[i], table[ok], sizes[rows[ok]])
+            may = may_link(most, sizes[i], sizes[rows[ok]], num, den)
+            for j in rows[ok][may][np.argsort(-most[may], kind="stable")].tolist():
+                if group[j] != group[i] and (sets is None or linked(sets[i], sets[j], num, den)):
+                    out.append((i, j))
+                    group[group == group[j]] = group[i]
+    return out
+
+
+def _arrays(raw: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), "<u8") for x in raw]
 
 
+def _sets(docs: DataFrame, ids: DataFrame, n: int, label: str, exact: bool) -> DataFrame:
+    """Saved sets of the documents ``ids``: their elements, or their bitmaps."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b in text_groups(batch.column("text"), 4_000_000):
+                sets = [shingles(t, n) for t in batch.column("text")[a:b].to_pylist()]
+                made = [(s if exact else bitmap(s, BITS)).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(made, pa.binary())], names=["doc_id", "n", name])
+
+    name = "elements" if exact else "bits"
+    wanted = docs.join(_bounded(ids), "doc_id", "left_semi")
+    return save(wanted.mapInArrow(run, f"doc_id long, n long, {name} binary"), label)
+
+
+def _verify(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, label: str) -> DataFrame:
+    """The pairs (a, b), saved, that link: exact intersections of sorted arrays."""
+    ids = save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{label}-ids")
+    sets = _sets(docs, ids, n, f"{label}-arrays", exact=True)
+
+    def test(batches):
+        for batch in batches:
+            ok = [linked(x, y, num, den) for x, y in zip(_arrays(batch.column("x")), _arrays(batch.column("y")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    side = lambda k, e: sets.select(F.col("doc_id").alias(k), F.col("elements").alias(e))
+    return save(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), f"{label}-links")
+
+
+def common_ngrams(docs: DataFrame, n: int) -> np.ndarray:
+    """Sorted n-gram hashes that several documents of a bounded sample have; most frequent first if there are too many."""
+
+    def run(batches):
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text, n).view("<i8"), pa.int64())], names=["h"])
+
+    sample = docs.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    few = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in sample.collect()], "doc_id long")
+    counts = docs.join(F.broadcast(few), "doc_id").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+    kept = counts.filter(F.col("c") >= COMMON_DOCS).orderBy(F.desc("c"), "h").limit(COMMON_MOST).select("h").toArrow()
+    return np.sort(kept["h"].to_numpy().view(np.uint64))
+
+
 def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs``; sets link at similarity ``num / den`` or more."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
+    last = docs.sparkSession.sparkContext.broadcast(common_ngrams(docs, n))  # bounded by COMMON_MOST
+
     def sign(batches):
-        bands = Bands(num, den)
         for batch in batches:
             for a, b in text_groups(batch.column("text"), 4_000_000):
-                keys, sizes, signatures = [], [], []
+                keys, sizes, heads = [], [], []
                 for text in batch.column("text")[a:b].to_pylist():
                     s = shingles(text, n)
                     sizes.append(len(s))
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                    signatures.append(bands.signatures(s) if len(s) else s)
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, signatures)]), pa.int32()), pa.array(np.concatenate(signatures).view("<i8")))
+                    heads.append(prefix(s, last.value, num, den) if len(s) else s)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, heads)]), pa.int32()), pa.array(np.concatenate(heads).view("<i8")))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], names=["doc_id", "n", "key", "signatures"])
 
     signed = save(docs.mapInArrow(sign, "doc_id long, n long, key binary, signatures array<long>"), "ngram-sets")
     classes = save(signed.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "ngram-classes")
 
-    # Signatures that two classes share, and the smallest class of each.
-    own = signed.join(_bounded(classes.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").select("doc_id", F.explode("signatures").alias("signature"))
-    shared = own.groupBy("signature").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("signature", "pivot")
-    buckets = save(own.join(save(shared, "ngram-shared"), "signature"), "ngram-buckets")
-    pairs = buckets.filter("doc_id <> pivot").select("pivot", "doc_id").distinct()
-    wanted = save(buckets.select("doc_id").distinct(), "ngram-wanted")
-
-    def arrays(batches):
-        for batch in batches:
-            for a, b in text_groups(batch.column("text"), 4_000_000):
-                sets = [shingles(t, n) for t in batch.column("text")[a:b].to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "elements"])
-
-    sets = save(docs.join(_bounded(wanted), "doc_id", "left_semi").mapInArrow(arrays, "doc_id long, n long, elements binary"), "ngram-arrays")
-
-    def test(batches):
+    # Bands: documents with a common element whose sizes follow one another closely enough.
+    own = signed.join(_bounded(classes.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").select("n", "doc_id", F.explode("signatures").alias("signature"))
+    by_size = Window.partitionBy("signature").orderBy("n", "doc_id")
+    far = F.coalesce(den * F.lag("n").over(by_size) < num * F.col("n"), F.lit(True))
+    banded = own.withColumn("far", far.cast("int")).withColumn("band", F.sum("far").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+    band = Window.partitionBy("signature", "band")
+    banded = banded.select("signature", "band", "doc_id", "n", F.min("doc_id").over(band).alias("pivot"), F.max("doc_id").over(band).alias("other")).filter("pivot <> other")
+    bands = save(banded.select(F.xxhash64("signature", "band").alias("band"), "doc_id", "n", "pivot"), "ngram-bands")
+    maps = _sets(docs, save(bands.select("doc_id").distinct(), "ngram-wanted"), n, "ngram-maps", exact=False)
+
+    def bound(batches):
         for batch in batches:
-            ok = [linked(x, y, num, den) for x, y in zip(_sets(batch.column("elements")), _sets(batch.column("pivot_elements")), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("pivot")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    pivots = sets.select(F.col("doc_id").alias("pivot"), F.col("elements").alias("pivot_elements"))
-    tested = pairs.join(sets.select("doc_id", "elements"), "doc_id").join(pivots, "pivot").select("doc_id", "pivot", "elements", "pivot_elements")
-    links = save(tested.mapInArrow(test, "a long, b long"), "ngram-stars")
+            x, y = (batch.column(c).to_numpy() for c in ("n", "pivot_n"))
+            bits = zip(_arrays(batch.column("bits")), _arrays(batch.column("pivot_bits")), strict=True)
+            most = np.array([most_overlap(a, na, b, nb) for (a, b), na, nb in zip(bits, x.tolist(), y.tolist(), strict=True)], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("pivot")], names=["a", "b"]).filter(pa.array(may_link(most, x, y, num, den), pa.bool_()))
+
+    pivots = maps.select(F.col("doc_id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("bits").alias("pivot_bits"))
+    near = den * F.least("n", "pivot_n") >= num * F.greatest("n", "pivot_n")
+    pairs = bands.filter("doc_id <> pivot").select("pivot", "doc_id", "n").distinct()
+    pairs = pairs.join(pivots, "pivot").filter(near).join(maps.select("doc_id", "bits"), "doc_id")
+    passed = save(pairs.select("doc_id", "pivot", "n", "pivot_n", "bits", "pivot_bits").mapInArrow(bound, "a long, b long"), "ngram-passed")
+    links = _verify(docs, passed, n, num, den, "ngram-stars")
     found = components(links, "ngram-stars")
 
-    # Signatures whose classes are still apart.
-    placed = save(_placed(buckets, found), "ngram-placed")
-    apart = placed.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    # Bands whose classes are still apart.
+    names = found.select(F.col("node").alias("doc_id"), "component")
+    placed = bands.join(names, "doc_id", "left").select("band", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    placed = save(placed, "ngram-placed")
+    apart = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
     if not (apart := save(apart, "ngram-apart")).isEmpty():
-        rest = placed.join(apart, "signature")
-        candidates = components(rest.filter("component <> lo").select(F.col("component").alias("a"), F.col("lo").alias("b")), "ngram-candidates")
-        more = _tiles(sets, placed.select("doc_id", "component").distinct(), candidates, num, den)
-        found = components(links.unionByName(more), "ngram-all")
+        rest = placed.join(apart, "band").withColumnRenamed("band", "whole")
+        allowed = _tiles(maps, "bits", rest, num, den)
+        if not allowed.isEmpty():
+            # What the bitmaps allow, spanned; its documents meet again with their arrays, each group once.
+            groups = components(allowed, "ngram-allowed").select(F.col("node").alias("doc_id"), F.col("component").alias("whole"))
+            sets = _sets(docs, groups.select("doc_id"), n, "ngram-exact", exact=True)
+            rest = rest.select("doc_id", "n", "component").distinct().join(groups, "doc_id")
+            found = components(links.unionByName(_tiles(sets, "elements", rest, num, den)), "ngram-all")
 
     named = classes.join(found, classes["rep"] == found["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "key").join(named, "key", "left")
@@ -235,24 +277,17 @@ def _bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _placed(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    names = found.select(F.col("node").alias("doc_id"), "component")
-    return buckets.join(names, "doc_id", "left").select("signature", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-
-
-def _tiles(sets: DataFrame, placed: DataFrame, candidates: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between the components that a candidate component holds."""
-    members = placed.join(candidates.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component")
-    members = save(members.join(sets.select("doc_id", "n"), "doc_id").select("doc_id", "component", "whole", "n").distinct(), "ngram-members")
+def _tiles(sets: DataFrame, kind: str, members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b), saved, that span the components of each whole: as the ``bits`` of the sets allow, or exact by their ``elements``."""
     sizes = members.groupBy("whole", "component").agg(F.count(F.lit(1)).alias("c"))
     bodies = sizes.groupBy("whole").agg(F.max(F.struct("c", "component"))["component"].alias("body"))
     rows = members.join(bodies, "whole").withColumn("main", F.col("component") == F.col("body")).drop("body")
-    rows = rows.select("*", (8 * F.col("n")).alias("bytes"), F.lit(1).alias("one"))
+    rows = rows.select("*", F.col("n").alias("bytes"), F.lit(1).alias("one"))
     rows = running_total(rows, [F.col("whole"), F.col("main"), F.col("n"), F.col("doc_id")], ["bytes", "one"], "ngram-order")
     block = F.struct((F.col("before_one") / BLOCK_ROWS).cast("long").alias("r"), (F.col("before_bytes") / BLOCK_BYTES).cast("long").alias("s"))
     rows = save(rows.withColumn("block", F.xxhash64(block, "main")), "ngram-blocks")
 
-    # Which blocks meet: blocks of one candidate component, of compatible sizes, not both of its main body.
+    # Which blocks meet: blocks of one whole, of compatible sizes, not both of its main body.
     bands = save(rows.groupBy("whole", "main", "block").agg(F.min("n").alias("least"), F.max("n").alias("most")), "ngram-bands")
     x, y = bands.alias("x"), bands.alias("y")
     meet = x.join(y, F.col("x.whole") == F.col("y.whole")).filter(
@@ -261,23 +296,22 @@ def _tiles(sets: DataFrame, placed: DataFrame, candidates: DataFrame, num: int,
     meet = save(meet.select("x.whole", F.col("x.block").alias("i"), F.col("y.block").alias("j")), "ngram-meet")
     sides = meet.withColumn("block", F.col("i")).unionByName(meet.filter("i <> j").withColumn("block", F.col("j")))
     here = rows.join(sides, ["whole", "block"]).select("whole", "i", "j", "block", "doc_id", "component")
-    here = here.join(sets.select("doc_id", "elements"), "doc_id")
+    here = here.join(sets.select("doc_id", "n", kind), "doc_id")
 
     def tile(key, table):
         table = table.combine_chunks()
         whole, block = table["whole"].to_numpy(), table["block"].to_numpy()
-        ids, body, arrays = table["doc_id"].to_numpy(), table["component"].to_numpy(), _sets(table["elements"].combine_chunks())
+        ids, body, sizes, own = table["doc_id"].to_numpy(), table["component"].to_numpy(), table["n"].to_numpy(), _arrays(table[kind].combine_chunks())
+        maps, exact = (own, None) if kind == "bits" else ([bitmap(s, 4) for s in own], own)
         i, j = key[0].as_py(), key[1].as_py()
         out: list[tuple[int, int]] = []
         for w in np.unique(whole):
             left, right = np.flatnonzero((whole == w) & (block == i)), np.flatnonzero((whole == w) & (block == j))
-            own = np.union1d(left, right)
             if len(left) and len(right):
-                at = lambda rows, own=own: np.searchsorted(own, rows)
-                out += [(ids[own[a]], ids[own[b]]) for a, b in tile_links([arrays[k] for k in own], body[own], at(left), at(right), num, den)]
+                out += [(ids[a], ids[b]) for a, b in tile_links(maps, sizes, body, left, right, num, den, exact)]
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return save(here.groupBy("i", "j").applyInArrow(tile, "a long, b long"), "ngram-tiles")
+    return save(here.groupBy("i", "j").applyInArrow(tile, "a long, b long").distinct(), "ngram-tiles")
 
 
 def keep_one(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:

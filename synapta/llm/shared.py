@@ -7,6 +7,8 @@ reruns never read another run's files; the folder is removed when the JVM ends.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -27,14 +29,21 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """URI of a folder of its own below the shared root; it goes when the driver's JVM ends."""
+    """URI of a folder of its own below the shared root; it goes when the driver ends."""
     uri = f"{shared_root(spark)}/synapta-{label}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.deleteOnExit(path)
+    atexit.register(_remove, store, path)
     return uri
 
 
+def _remove(store, path) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone, and its own hook has removed the folder
+        store.delete(path, True)
+
+
 def save(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return a reader of it."""
     spark = df.sparkSession
@@ -64,7 +73,12 @@ def write_file(uri: str, payload: bytes) -> None:
     part = f"{path}.{uuid.uuid4().hex}.part"
     with store.open_output_stream(part) as out:
         out.write(payload)
-    store.move(part, path)
+    try:
+        store.move(part, path)
+    except OSError:  # some stores do not replace: another attempt was first with the same bytes
+        if store.get_file_info(path).type != fs.FileType.File:
+            raise
+        store.delete_file(part)
 
 
 def running_total(df: DataFrame, order: list[Column], values: list[str], label: str) -> DataFrame:

@@ -282,10 +282,9 @@ def test_op8_equals_brute_force(spark, awkward, n, num):
     assert ngram_join.link_components(docs(spark, [])).count() == 0
 
 
-def test_signatures_lose_no_link():
+def test_prefixes_lose_no_link():
     rng = np.random.default_rng(4)
     for num in (80, 90):
-        bands = ngram_join.Bands(num, 100)
         for _ in range(400):
             n = int(rng.integers(1, 400))
             both = rng.integers(0, 2**64, n, np.uint64)
@@ -294,23 +293,33 @@ def test_signatures_lose_no_link():
             more = rng.integers(0, 2**64, extra, np.uint64)
             a, b = np.unique(np.concatenate([both, more[:a_only]])), np.unique(np.concatenate([both, more[a_only:]]))
             assert ngram_join.linked(a, b, num, 100)
-            if len(a) == len(b) == n:
-                continue  # equal sets are one class
-            assert set(bands.signatures(a).tolist()) & set(bands.signatures(b).tolist())
+            common = np.sort(rng.choice(np.concatenate([both, more]), int(rng.integers(0, n + extra + 1)), replace=False))
+            assert set(ngram_join.prefix(a, common, num, 100).tolist()) & set(ngram_join.prefix(b, common, num, 100).tolist())
 
 
-def test_tiles_bound_from_above():
+def test_bitmaps_bound_from_above():
     rng = np.random.default_rng(6)
     base = np.unique(rng.integers(0, 2**64, 300, np.uint64))
-    sets = [np.unique(np.concatenate([rng.choice(base, 300 - k, replace=False), rng.integers(0, 2**64, k, np.uint64)])) for k in rng.integers(0, 40, 30)]
-    links = ngram_join.tile_links(sets, np.arange(30), np.arange(30), np.arange(30), 90, 100)
-    root = list(range(30))
-    for a, b in links:
-        assert ngram_join.linked(sets[a], sets[b], 90, 100)
-        root = [root[b] if r == root[a] else r for r in root]
-    for a in range(30):
-        for b in range(a):
-            assert root[a] == root[b] or not ngram_join.linked(sets[a], sets[b], 90, 100)
+    sets = [np.unique(np.concatenate([rng.choice(base, 300 - k, replace=False), rng.integers(0, 2**64, int(k * rng.random() * 2), np.uint64)])) for k in rng.integers(0, 60, 40)]
+    sizes, rows = np.array([len(s) for s in sets]), np.arange(40)
+    for per in (1, 4):
+        maps = [ngram_join.bitmap(s, per) for s in sets]
+        for exact in (None, sets):
+            root = list(range(40))
+            for a, b in ngram_join.tile_links(maps, sizes, rows, rows, rows, 90, 100, exact):
+                assert exact is None or ngram_join.linked(sets[a], sets[b], 90, 100)
+                root = [root[b] if r == root[a] else r for r in root]
+            for a in range(40):
+                for b in range(a + 1, 40):
+                    assert ngram_join.most_overlap(maps[a], sizes[a], maps[b], sizes[b]) >= ngram_join.overlap(sets[a], sets[b])
+                    assert root[a] == root[b] or not ngram_join.linked(sets[a], sets[b], 90, 100)
+    assert ngram_join.tile_links(maps, sizes, np.zeros(40, int), rows, rows, 90, 100) == []
+    body = rows % 3  # what is joined already must not hide a row's own partners
+    spanned = {x for pair in ngram_join.tile_links(maps, sizes, body, rows, rows, 90, 100) for x in pair}
+    for a in range(40):
+        for b in range(40):
+            if body[a] != body[b] and ngram_join.linked(sets[a], sets[b], 90, 100):
+                assert {a, b} <= spanned
 
 
 def test_keep_one_of_each_group(spark, awkward):
