@@ -130,23 +130,32 @@ def contradictory(a: Column, b: Column) -> Column:
 def cluster_sessions(memories: DataFrame, least: float = 0.3) -> DataFrame:
     """Single-pass clusters (memory_id, cluster): in order of memory_id a memory joins the first cluster of its
     type with a member of a larger Jaccard similarity, else it begins one. Order-dependent, so one group per
-    session and type."""
+    session and type; common words with all earlier members are counted at once from an inverted list."""
+    from array import array
+
+    import numpy as np
     import pandas as pd
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("memory_id")
-        clusters, owner = [], []
-        for mid, text in zip(pdf["memory_id"], pdf["content"].fillna(""), strict=True):
-            own = frozenset(text.split())
-            for c in clusters:
-                if own and any(s and len(own & s) / len(own | s) > least for s in c[1]):
-                    c[1].append(own)
-                    owner.append(c[0])
-                    break
+        pdf = pdf[["memory_id", "content"]].sort_values("memory_id")
+        held: dict[str, array] = {}
+        sizes, place, first = np.zeros(len(pdf)), np.zeros(len(pdf), np.int64), []
+        for i, (mid, text) in enumerate(zip(pdf["memory_id"], pdf["content"].fillna(""), strict=True)):
+            own = set(text.split())
+            lists = [np.array(held[w]) for w in own if w in held]
+            near = np.zeros(0, np.int64)
+            if lists:
+                common = np.bincount(np.concatenate(lists), minlength=i)[:i]
+                near = np.flatnonzero(common / np.maximum(sizes[:i] + len(own) - common, 1) > least)
+            if len(near):
+                place[i] = place[near].min()
             else:
-                clusters.append((mid, [own]))
-                owner.append(mid)
-        return pd.DataFrame({"memory_id": pdf["memory_id"], "cluster": owner})
+                place[i] = len(first)
+                first.append(mid)
+            for w in own:
+                held.setdefault(w, array("q")).append(i)
+            sizes[i] = len(own)
+        return pd.DataFrame({"memory_id": pdf["memory_id"], "cluster": np.array(first)[place]})
 
     return memories.select("memory_id", "session_id", "memory_type", "content").groupBy("session_id", "memory_type").applyInPandas(fold, "memory_id long, cluster long")
 

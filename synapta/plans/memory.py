@@ -83,16 +83,12 @@ def l2_search_relevance(spark, d):
     return m.crossJoin(best).select("memory_id", F.round(0.5 * F.col("hits") / F.col("best") + 0.2 * F.col("importance"), 6).alias("score"))
 
 
-def _short(spark, d):
-    return V.memories(spark, d).filter("n_chars < 3000")
-
-
 _JW = f", w AS (SELECT memory_id, session_id, content, confidence, created_at, {words_sql('content')} AS w FROM memories WHERE n_chars < 3000), p AS (SELECT a.memory_id AS a, b.memory_id AS b, {jaccard_sql('a.w', 'b.w')} AS j, a.w AS aw, b.w AS bw, a.content AS ac, b.content AS bc, a.confidence AS acf, b.confidence AS bcf FROM w a JOIN w b ON a.session_id = b.session_id AND a.memory_id < b.memory_id) "
 
 
 @query(V.sql(_JW + "SELECT memory_id, CASE WHEN memory_id IN (SELECT b FROM p WHERE j > 0.95) THEN 0e0 ELSE 1e0 END AS coherence FROM w", "memories"))
 def l3_coherence(spark, d):
-    return M.coherence(_short(spark, d)).select("memory_id", "coherence")
+    return M.coherence(V.memories(spark, d)).select("memory_id", "coherence")
 
 
 _PACK = f""", s AS (SELECT session_id || '-' || (memory_id % 25) AS session_id, memory_id, round({_SCORE}, 9) AS score, token_estimate AS tokens FROM memories WHERE memory_type = 'semantic'),
@@ -155,7 +151,7 @@ def m6_record_access(spark, d):
 
 @query()
 def n1_cluster(spark, d):
-    return M.cluster_sessions(_short(spark, d))
+    return M.cluster_sessions(V.memories(spark, d))
 
 
 _CL = ", c AS (SELECT memory_id - memory_id % 4 AS cluster, * FROM memories), w AS (SELECT *, len(list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '')) AS n, row_number() OVER (PARTITION BY cluster ORDER BY importance DESC, memory_id) AS r FROM c), s AS (SELECT cluster, count(*) AS size, avg(importance) AS importance, sum(n)::BIGINT AS words, CASE WHEN count(*) < 2 OR sum(n) < 50 THEN max_by(content, -r) ELSE string_agg(content, ' ' ORDER BY r) FILTER (WHERE r <= 3) END AS summary FROM w GROUP BY cluster)"
@@ -178,7 +174,7 @@ def d14_token_saving(spark, d):
 
 @query()
 def n3_consolidate(spark, d):
-    return M.consolidate(_short(spark, d)).select("cluster", "size", "words", "summary")
+    return M.consolidate(V.memories(spark, d)).select("cluster", "size", "words", "summary")
 
 
 _JOBS = ", j AS (SELECT op_id AS job_id, list_extract(['queued', 'running', 'done', 'failed'], op_id % 4 + 1) AS status, ts FROM operations WHERE op_id < 400) "
@@ -196,7 +192,7 @@ def n5_queue(spark, d):
 
 @query(V.sql(_JW + "SELECT a, b, round(j, 6) AS similarity FROM p WHERE j > 0.7", "memories"))
 def o1_c11_neighbours(spark, d):
-    return M.similar_pairs(_short(spark, d), 0.7).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return M.similar_pairs(V.memories(spark, d), 0.7).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 _NEG = "regexp_matches(lower({0}), 'not|no|never|false|wrong|instead')"
@@ -204,7 +200,7 @@ _KIND = f"CASE WHEN a % 2 = 0 AND j > 0.8 THEN 'supersedes' WHEN strlen(ac) > st
 
 
 def _links(spark, d):
-    m = _short(spark, d)
+    m = V.memories(spark, d)
     side = lambda n: m.select(F.col("memory_id").alias(n), F.col("content").alias(f"{n}c"), F.col("confidence").alias(f"{n}f"))
     p = M.similar_pairs(m, 0.5).join(side("a"), "a").join(side("b"), "b")
     kind = M.relation(F.col("similarity"), Sim.containment(F.col("bc"), F.col("ac")), F.col("a") % 2 == 0, F.octet_length("ac") > F.octet_length("bc"), M.contradictory(F.col("ac"), F.col("bc")))
