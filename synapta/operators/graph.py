@@ -147,11 +147,17 @@ def evolve(entities: DataFrame, edges: DataFrame, least: float = 0.8, deprecate_
     return update_where(merged, F.col("relevance") < deprecate_below, is_deprecated=F.lit(True)), moved
 
 
+#: No letter, digit or underscore of any script before or after, as in the reference (Python); Java's own boundary differs by version.
+_START, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+#: White space of any script.
+_SPACE = r"[\s\x{85}\p{Z}]"
+
+
 def graph_from_phrases(memories: DataFrame, stop: tuple[str, ...], most: int = 5) -> DataFrame:
     """Nodes (label, type) of capitalized phrases: the first ``most`` per memory and single words of three letters."""
-    text = F.regexp_replace(F.regexp_replace("content", r"Round \d+:\s*User:\s*", ""), r"\s*\|\s*Assistant:\s*", " ")
-    phrases = F.slice(F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*)\b"), F.lit(1)), 1, most)
-    singles = F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-zA-Z]{2,})\b"), F.lit(1))
+    text = F.regexp_replace(F.regexp_replace("content", rf"Round \p{{Nd}}+:{_SPACE}*User:{_SPACE}*", ""), rf"{_SPACE}*\|{_SPACE}*Assistant:{_SPACE}*", " ")
+    phrases = F.slice(F.regexp_extract_all(text, F.lit(rf"{_START}([A-Z][a-zA-Z]+(?:{_SPACE}+[A-Z][a-zA-Z]+)*){_END}"), F.lit(1)), 1, most)
+    singles = F.regexp_extract_all(text, F.lit(rf"{_START}([A-Z][a-zA-Z]{{2,}}){_END}"), F.lit(1))
     seen = memories.select("memory_id", F.posexplode(F.concat(phrases, singles)).alias("pos", "label")).withColumn("key", F.lower(F.trim("label")))
     seen = seen.filter(~F.col("key").isin(*stop))
     return seen.groupBy("key").agg(F.min_by("label", F.struct("memory_id", "pos")).alias("label"), F.min(F.struct("memory_id", "pos")).alias("at"))

@@ -1,6 +1,7 @@
 """Queries over the whole of small tables that reach past every former bound, against brute force."""
 
 import random
+import re
 
 import pytest
 
@@ -53,3 +54,18 @@ def test_clusters_hold_long_memories(spark, long_documents):
         want |= {m: c[0] for c in clusters for m in c}
     assert {r.memory_id: r.cluster for r in run(spark, "n1_cluster", path)} == want
     assert sum(r.size for r in run(spark, "n3_consolidate", path)) == len(sets)
+
+
+def test_phrases_of_texts_with_accents(spark, tmp_path):
+    texts = ["Le Café reste Paris Nord", "Élan Vital\u00a0Berlin caféHaus", "Madrid y Sevillaé", "“Plain” Text_ Lima’s 東京Tokyo Cafe\u0301"]
+    rows = [(i, t, "fr", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    place = {}
+    for i, t in enumerate(texts):  # Python's word boundaries know every script
+        labels = re.findall(r"\b([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*)\b", t)[:5] + re.findall(r"\b([A-Z][a-zA-Z]{2,})\b", t)
+        for pos, label in enumerate(labels):
+            place.setdefault(label.lower(), (i, pos))
+    assert "vital\u00a0berlin" in place and "caf" not in place and "madrid" in place
+    first = sorted(place, key=place.get)
+    want = {(h, n) for h in first[:3] for n in place if place[h] < place[n]}
+    assert {(r["from"], r["to"]) for r in run(spark, "p4_graph_from_memories", tmp_path)} == want
