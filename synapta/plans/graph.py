@@ -152,7 +152,7 @@ def q2_d9_decay_stats(spark, d):
 
 
 def _parts(spark, d):
-    p = V.table(spark, d, "part").filter("p_partkey < 300")
+    p = V.table(spark, d, "part")
     return p.select(F.concat(F.lit("p"), "p_partkey").alias("entity_id"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.col("p_type").alias("entity_type"), F.col("p_brand").alias("attribute"), F.lit(False).alias("is_deprecated"), ((F.col("p_partkey") * 53 % 51 + 50) / 100.0).alias("confidence"), (F.col("p_partkey") % 7).alias("access_count"), ((F.col("p_partkey") * 37 % 101) / 100.0).alias("relevance"))
 
 
@@ -168,7 +168,7 @@ def q3_c10_merge_candidates(spark, d):
 @query("WITH p AS (SELECT v.vec_id, v.label, embedding::DOUBLE[] AS e, list_extract(['red ring', 'red bolt', 'blue ring'], v.vec_id % 3 + 1) AS name FROM embeddings v WHERE vec_id < 120), c AS (SELECT a.vec_id AS a, b.vec_id AS b, 0.7e0 * list_cosine_similarity(a.e, b.e) + 0.3e0 * CASE WHEN a.name = b.name THEN 1e0 WHEN a.vec_id % 3 + b.vec_id % 3 = 3 THEN 0e0 ELSE 1e0 / 3 END AS s FROM p a JOIN p b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT a, b, round(s, 6) AS similarity FROM c WHERE s >= 0.3")
 def q4_semantic_candidates(spark, d):
     names = F.array(*map(F.lit, ("red ring", "red bolt", "blue ring")))
-    v = V.table(spark, d, "embeddings").filter("vec_id < 120").withColumn("name", F.element_at(names, (F.col("vec_id") % 3 + 1).cast("int")))
+    v = V.table(spark, d, "embeddings").withColumn("name", F.element_at(names, (F.col("vec_id") % 3 + 1).cast("int")))
     p = v.alias("x").join(v.alias("y"), F.expr("x.label = y.label AND x.vec_id < y.vec_id"))
     s = 0.7 * cosine(F.col("x.embedding"), F.col("y.embedding")) + 0.3 * jaccard_ci(F.col("x.name"), F.col("y.name"))
     return p.select(F.col("x.vec_id").alias("a"), F.col("y.vec_id").alias("b"), s.alias("s")).filter("s >= 0.3").select("a", "b", F.round("s", 6).alias("similarity"))

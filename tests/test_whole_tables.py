@@ -69,3 +69,20 @@ def test_phrases_of_texts_with_accents(spark, tmp_path):
     first = sorted(place, key=place.get)
     want = {(h, n) for h in first[:3] for n in place if place[h] < place[n]}
     assert {(r["from"], r["to"]) for r in run(spark, "p4_graph_from_memories", tmp_path)} == want
+
+
+def test_pairs_of_parts_and_vectors_with_large_ids(spark, tmp_path):
+    parts = [(i, f"{w} ring", "T", b, 1) for i, w, b in ((1, "red", "B1"), (299, "blue", "B2"), (300, "red", "B1"), (5000, "Red", "B1"), (5001, "dull", "B3"))]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_brand string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    vectors = [(i, [1.0, float(i % 2)], "l") for i in (1, 119, 120, 199, 200, 9001)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label string").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    score = lambda x, y: 0.5 * len(set(x[1].lower().split()) & set(y[1].lower().split())) / len(set(x[1].lower().split()) | set(y[1].lower().split())) + 0.2 + 0.3 * (x[3] == y[3])
+    pairs = [(x, y) for x in parts for y in parts if x[0] < y[0]]
+    want = {(f"p{x[0]}", f"p{y[0]}"): round(score(x, y), 6) for x, y in pairs if score(x, y) >= 0.6}
+    assert len(want) == 3 and {(r.a, r.b): r.similarity for r in run(spark, "q3_c10_merge_candidates", tmp_path)} == want
+    assert {(r.a, r.b) for r in run(spark, "q5_keep_side", tmp_path)} == set(want)
+    assert {r.entity_id for r in run(spark, "q10_evolution_cycle", tmp_path)} == {f"p{x[0]}" for x in parts}
+    ids = {(x[0], y[0]) for x, y in pairs}
+    assert {(r.a, r.b) for r in run(spark, "h5_h6_h7_set_similarity", tmp_path)} == {(r.a, r.b) for r in run(spark, "h8_attribute_similarity", tmp_path)} == ids
+    near = {(a[0], b[0]) for a in vectors for b in vectors if a[0] < b[0]}
+    assert {(r.a, r.b) for r in run(spark, "h9_cosine", tmp_path)} == {(r.a, r.b) for r in run(spark, "q4_semantic_candidates", tmp_path)} == near
