@@ -50,7 +50,7 @@ _KINDS = "list_extract(['system', 'working', 'conversation', 'episodic', 'semant
 
 def _blocks(spark, d):
     kinds = F.array(*map(F.lit, M.BLOCK_ORDER))
-    m = V.memories(spark, d).filter("memory_id < 200")
+    m = V.memories(spark, d)
     return m.select("memory_id", "session_id", "content", F.element_at(kinds, (F.col("memory_id") % 7 + 1).cast("int")).alias("kind"), F.col("confidence").alias("score"))
 
 
@@ -100,8 +100,7 @@ SELECT session_id, max_by(used, rn)::BIGINT AS used, max_by(chosen, rn)::BIGINT
 
 @query(V.sql(_PACK, "memories", recursive=True))
 def l4_budget_pack(spark, d):
-    s = scored(spark, d).filter("memory_type = 'semantic'").withColumn("session_id", F.concat("session_id", F.lit("-"), F.col("memory_id") % 25))
-    return M.pack_budget(s, 8192).drop("ids")
+    return M.pack_budget(scored(spark, d), 8192).drop("ids")
 
 
 _HEAD = "CASE kind WHEN 'working' THEN '[Working Memory]' || chr(10) WHEN 'episodic' THEN '[Previous Conversation]' || chr(10) WHEN 'semantic' THEN '[Relevant Information]' || chr(10) WHEN 'procedural' THEN '[Skill]' || chr(10) WHEN 'entity' THEN '[Entity]' || chr(10) ELSE '' END"
@@ -182,7 +181,7 @@ _JOBS = ", j AS (SELECT op_id AS job_id, list_extract(['queued', 'running', 'don
 
 def jobs(spark, d):
     status = F.element_at(F.array(*map(F.lit, ("queued", "running", "done", "failed"))), (F.col("op_id") % 4 + 1).cast("int"))
-    return V.operations(spark, d).filter("op_id < 400").select(F.col("op_id").alias("job_id"), status.alias("status"), F.col("ts").alias("created"))
+    return V.operations(spark, d).select(F.col("op_id").alias("job_id"), status.alias("status"), F.col("ts").alias("created"))
 
 
 @query(V.sql(_JOBS + "SELECT job_id, row_number() OVER (ORDER BY ts, job_id) - 1 AS position FROM j WHERE status = 'queued'", "operations"))

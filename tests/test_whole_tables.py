@@ -1,5 +1,6 @@
 """Queries over the whole of small tables that reach past every former bound, against brute force."""
 
+import hashlib
 import random
 import re
 
@@ -86,3 +87,23 @@ def test_pairs_of_parts_and_vectors_with_large_ids(spark, tmp_path):
     assert {(r.a, r.b) for r in run(spark, "h5_h6_h7_set_similarity", tmp_path)} == {(r.a, r.b) for r in run(spark, "h8_attribute_similarity", tmp_path)} == ids
     near = {(a[0], b[0]) for a in vectors for b in vectors if a[0] < b[0]}
     assert {(r.a, r.b) for r in run(spark, "h9_cosine", tmp_path)} == {(r.a, r.b) for r in run(spark, "q4_semantic_candidates", tmp_path)} == near
+
+
+def test_contexts_and_jobs_with_large_ids(spark, tmp_path):
+    docs = [(i, f"text {i}", "de" if i % 2 else "fr", "s", 4000) for i in (1, 2, 3, 199, 200, 201, 777, 5000)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    ids = [0, 1, 4, 5, 399, 400, 401, 404, 10**6, 10**6 + 1]
+    events = [(i, 10**6 - i, i % 3, "k", 1.0, "{}") for i in ids]
+    spark.createDataFrame(events, "event_id long, ts long, user_id long, event_type string, value double, props string").selectExpr("event_id", "timestamp_seconds(ts) AS ts", "user_id", "event_type", "value", "props").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.memory_id for r in run(spark, "f6_block_order", tmp_path)} == {d[0] for d in docs}
+    contexts = {}
+    heads = ["", "[Working Memory]\n", "", "[Previous Conversation]\n", "[Relevant Information]\n", "[Skill]\n", "[Entity]\n"]
+    for i, text, lang, _, _ in sorted(docs, key=lambda d: (d[0] % 7, -(d[0] * 13 % 101), d[0])):
+        contexts[lang] = contexts.get(lang, "") + heads[i % 7] + text + ("\n" if i % 7 == 2 else "\n\n")
+    assert {r.session_id: r.context_sha256 for r in run(spark, "l6_format_context", tmp_path)} == {k: hashlib.sha256(v.strip().encode()).hexdigest() for k, v in contexts.items()}
+    # 5632 tokens hold five memories of 1000, of any type.
+    assert {r.session_id: (r.used, r.chosen, r.skipped) for r in run(spark, "l4_budget_pack", tmp_path)} == {s: (min(5, n) * 1000, min(5, n), max(0, n - 5)) for s in ("de", "fr") for n in [sum(d[2] == s for d in docs)]}
+    queued = sorted((i for i in ids if i % 4 == 0), reverse=True)
+    assert {r.job_id: r.position for r in run(spark, "n5_queue", tmp_path)} == {i: n for n, i in enumerate(queued)}
+    assert {r.job_id for r in run(spark, "b14_jobs_by_status", tmp_path)} == {i for i in ids if i % 4 == 1}
+    assert {r.status: r.n for r in run(spark, "d8_scheduler_stats", tmp_path)} == {"queued": len(queued), "running": 4, "failed": 1}
