@@ -17,19 +17,34 @@ def merge_commits(parents: DataFrame) -> DataFrame:
     return parents.groupBy("oid").agg(F.count("parent").alias("parents")).filter("parents > 1")
 
 
-def ancestors(parents: DataFrame, heads: DataFrame, depth: int = 1000) -> DataFrame:
+def _cut(df: DataFrame) -> DataFrame:
+    """Computed once, with its lineage cut; below the checkpoint folder where there is one."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        return df.localCheckpoint()
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    return df.checkpoint()
+
+
+def ancestors(parents: DataFrame, heads: DataFrame, depth: int | None = None) -> DataFrame:
     """(head, oid, depth) of everything reachable from ``heads`` (head), itself at 0; nearest depth of each.
 
-    A recursive query walks one generation at a time for all heads together; ``depth`` bounds it.
+    Pointer doubling: ``jump`` leads 2^k generations up, so round k adds the depths from 2^k to 2^(k+1) - 1, until a
+    round reaches nothing new. ``depth`` may bound the walk.
     """
-    spark = parents.sparkSession
-    return spark.sql(
-        f"""WITH RECURSIVE walk(head, oid, depth) MAX RECURSION LEVEL 2000 AS (
-             SELECT head, head AS oid, 0 FROM {{heads}}
-             UNION ALL SELECT w.head, p.parent, w.depth + 1 FROM walk w JOIN {{parents}} p ON p.oid = w.oid WHERE p.parent IS NOT NULL AND w.depth < {int(depth)})
-           SELECT head, oid, min(depth) AS depth FROM walk GROUP BY head, oid""",
-        heads=heads.select("head"), parents=parents.select("oid", "parent"),
-    )
+    jump = _cut(parents.filter("parent IS NOT NULL").select(F.col("oid").alias("low"), F.col("parent").alias("high")).distinct())
+    walk = _cut(heads.filter("head IS NOT NULL").select("head", F.col("head").alias("oid"), F.lit(0).alias("depth")).distinct())
+    step, size = 1, walk.count()
+    while depth is None or step <= depth:
+        further = walk.join(jump, F.col("oid") == F.col("low")).select("head", F.col("high").alias("oid"), (F.col("depth") + step).alias("depth"))
+        walk = _cut(walk.unionByName(further).groupBy("head", "oid").agg(F.min("depth").alias("depth")))
+        before, size = size, walk.count()
+        if size == before:
+            break
+        up = jump.select(F.col("low").alias("high"), F.col("high").alias("_up"))
+        jump, step = _cut(jump.join(up, "high").select("low", F.col("_up").alias("high")).distinct()), 2 * step
+    return walk if depth is None else walk.filter(F.col("depth") <= depth)
 
 
 def merge_base(mine: DataFrame, other: DataFrame) -> DataFrame:

@@ -107,3 +107,34 @@ def test_contexts_and_jobs_with_large_ids(spark, tmp_path):
     assert {r.job_id: r.position for r in run(spark, "n5_queue", tmp_path)} == {i: n for n, i in enumerate(queued)}
     assert {r.job_id for r in run(spark, "b14_jobs_by_status", tmp_path)} == {i for i in ids if i % 4 == 1}
     assert {r.status: r.n for r in run(spark, "d8_scheduler_stats", tmp_path)} == {"queued": len(queued), "running": 4, "failed": 1}
+
+
+def test_ancestors_of_a_long_history(spark):
+    from collections import deque
+
+    from synapta.operators import history
+
+    n = 1600
+    links = [(i, i - 1) for i in range(1, n)] + [(0, None), (1500, 1400), (1400, 1370), (9000, 30), (9001, 9000), (9000, 29)]
+    up = {}
+    for child, parent in links:
+        up.setdefault(child, []).append(parent)
+
+    def walk(head):
+        depth, queue = {head: 0}, deque([head])
+        while queue:
+            x = queue.popleft()
+            for p in up.get(x, []):
+                if p is not None and p not in depth:
+                    depth[p] = depth[x] + 1
+                    queue.append(p)
+        return depth
+
+    parents = spark.createDataFrame(links, "oid long, parent long")
+    heads = lambda *x: spark.createDataFrame([(h,) for h in x], "head long")
+    got = history.ancestors(parents, heads(n - 1, 9001)).collect()
+    assert {(r.head, r.oid): r.depth for r in got} == {(h, o): d for h in (n - 1, 9001) for o, d in walk(h).items()}
+    assert max(walk(n - 1).values()) > 1000
+    base = history.merge_base(history.ancestors(parents, heads(n - 1)), history.ancestors(parents, heads(9001))).first()
+    assert (base.oid, base.depth) == (29, 2)
+    assert {r.oid for r in history.ancestors(parents, heads(n - 1), 7).collect()} == {o for o, d in walk(n - 1).items() if d <= 7}
