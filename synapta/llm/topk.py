@@ -4,8 +4,8 @@ Every component x becomes floor(1024 x). Each shard builds a KD-tree by median s
 widest dimension; every node keeps the tight box of its points. The largest product that a box
 can reach is, per dimension, the larger of the products with its two sides. Nodes are visited
 best bound first until no bound reaches the k-th score. That threshold does not start empty:
-each query brings its k-th score among a bounded sample, a number that the final k-th score
-reaches at least, so shards return only rows that may be results.
+each query brings its k-th score among the rows of a bounded sample that have another vec_id, a
+number that the final k-th score reaches at least, so shards return only rows that may be results.
 
 Edge cases: null and non-finite vectors, null vec_id, and vectors of another length than most of
 the sample take no part (zero vectors do); rows with the query's own vec_id are no candidates;
@@ -89,14 +89,18 @@ class KDTree:
 def top_products(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """(query_id, rank, vec_id, score): for every vec_id divisible by ``every`` the k rows of the largest product."""
     usable = V.valid(vectors, zero=True)
-    sample = np.floor(V.fitted_sample(usable) * SCALE)
+    sample_ids, sample = V.sample_with_ids(usable)
+    sample = np.floor(sample * SCALE)
     d = sample.shape[1]
 
     def reached(ids: np.ndarray, q: np.ndarray) -> np.ndarray:
-        # One more than k: the query itself may be in the sample.
-        if len(sample) < k + 1:
-            return np.full(len(q), -_LONG - 1, np.int64)
-        return np.array([np.partition(products(x, sample), len(sample) - k - 1)[len(sample) - k - 1] for x in np.floor(q * SCALE)], np.int64)
+        # Rows with the query's own id are no candidates, so they must not raise its k-th score.
+        out = np.full(len(q), -_LONG - 1, np.int64)
+        for i, (own, x) in enumerate(zip(ids, np.floor(q * SCALE), strict=True)):
+            scores = products(x, sample)[sample_ids != own]
+            if len(scores) >= k:
+                out[i] = np.partition(scores, len(scores) - k)[len(scores) - k]
+        return out
 
     blocks = V.write_queries(usable, every, d, reached)
 

@@ -32,11 +32,17 @@ def valid(vectors: DataFrame, zero: bool) -> DataFrame:
 
 def fitted_sample(vectors: DataFrame) -> np.ndarray:
     """Up to ``SAMPLE`` vectors in the order of a hash of vec_id, all of the length most frequent among them."""
-    rows = [r["v"] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).collect()]
+    return sample_with_ids(vectors)[1]
+
+
+def sample_with_ids(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The same, as (ids, vectors)."""
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).collect()
     if not rows:
-        return np.zeros((0, 1))
-    lengths = np.bincount([len(r) for r in rows])
-    return np.array([r for r in rows if len(r) == int(lengths.argmax())], np.float64)
+        return np.zeros(0, np.int64), np.zeros((0, 1))
+    d = int(np.bincount([len(r["v"]) for r in rows]).argmax())
+    rows = [r for r in rows if len(r["v"]) == d]
+    return np.array([r["vec_id"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.float64)
 
 
 def matrix(column: pa.Array, d: int) -> np.ndarray:
