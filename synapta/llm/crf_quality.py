@@ -96,11 +96,13 @@ class Chains:
 
 
 class Model:
-    """Fitted on (features, sizes, label) of documents."""
+    """Fitted on (features, sizes, label) of documents; one of label y stands for ``stands[y]`` labels."""
 
-    def __init__(self, examples: list[tuple[np.ndarray, np.ndarray, int]]):
+    def __init__(self, examples: list[tuple[np.ndarray, np.ndarray, int]], stands: dict[int, float] | None = None):
         labels = np.array([y for _, _, y in examples], np.float64)
-        self.base = float(labels.mean()) if len(labels) else 1.0
+        stands = stands or {0: 1.0, 1: 1.0}
+        rows = np.where(labels == 1, stands[1], stands[0])
+        self.base = float(labels @ rows / rows.sum()) if len(labels) else 1.0
         self.fitted = 0 < self.base < 1
         if not self.fitted:
             return
@@ -124,7 +126,7 @@ class Model:
             move = 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
             self.weights += move[:-4]
             self.trans += move[-4:].reshape(2, 2)
-        self.curve = logistic(self.document(self.emissions(bins), lengths, np.concatenate([s for _, s, _ in examples])), labels)
+        self.curve = logistic(self.document(self.emissions(bins), lengths, np.concatenate([s for _, s, _ in examples])), labels, counts=rows)
 
     def bins(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Numbers of the active weights of each line: its own bins, and those of its neighbours in the document."""
@@ -169,9 +171,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                     f, s = line_features(text)
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), batch.column("label").slice(i, 1), pa.array([f.tobytes()], pa.binary()), pa.array([s.tobytes()], pa.binary())], names=["doc_id", "label", "f", "s"])
 
-    rows = sample(docs, labels, "quality", {0: MOST_EACH, 1: MOST_EACH}).mapInArrow(features, "doc_id long, label int, f binary, s binary").collect()
+    picked, stands = sample(docs, labels, "quality", {0: MOST_EACH, 1: MOST_EACH})
+    rows = picked.mapInArrow(features, "doc_id long, label int, f binary, s binary").collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["f"])))
-    return Model([(np.frombuffer(r["f"]).reshape(-1, len(FEATURES)), np.frombuffer(r["s"]), r["label"]) for r in rows])
+    return Model([(np.frombuffer(r["f"]).reshape(-1, len(FEATURES)), np.frombuffer(r["s"]), r["label"]) for r in rows], stands)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -7,26 +7,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights of a logistic regression with intercept, by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, counts: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a logistic regression with intercept, by Newton's method; ``counts``: how many rows each stands for."""
+    share = np.ones(len(y)) if counts is None else counts * (len(y) / counts.sum())
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-(x @ w)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (share * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
     return w
 
 
-def sample(docs: DataFrame, labels: DataFrame, column: str, most: dict[int, int]) -> DataFrame:
-    """Up to ``most[y]`` documents of each label y, as (doc_id, text, label): bounded by ``most``."""
+def sample(docs: DataFrame, labels: DataFrame, column: str, most: dict[int, int]) -> tuple[DataFrame, dict[int, float]]:
+    """Up to ``most[y]`` documents of each label y, as (doc_id, text, label), and how many labels each stands for."""
     known = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
     parts = [known.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in most.items()]
+    totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    stands = {y: max(1.0, totals.get(y, 0) / n) for y, n in most.items()}
     picked = parts[0]
     for p in parts[1:]:
         picked = picked.unionByName(p)
     rows = [(r["doc_id"], r["label"]) for r in picked.collect()]
     few = docs.sparkSession.createDataFrame(rows, "doc_id long, label int")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(few), "doc_id")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(few), "doc_id"), stands

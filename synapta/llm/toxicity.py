@@ -124,11 +124,12 @@ class _Terms(dict):
 
 
 class Model:
-    """Fitted on (doc_id, word counts, label) of examples."""
+    """Fitted on (doc_id, word counts, label) of examples; an example of label y stands for ``stands[y]`` labels."""
 
-    def __init__(self, examples: list[tuple[int, Counter, int]], neighbours: int = NEIGHBOURS):
-        self.k = neighbours
-        self.base = sum(y for _, _, y in examples) / len(examples) if examples else 0.0
+    def __init__(self, examples: list[tuple[int, Counter, int]], neighbours: int = NEIGHBOURS, stands: dict[int, float] | None = None):
+        self.k, self.stands = neighbours, stands or {0: 1.0, 1: 1.0}
+        counts = [self.stands[y] for _, _, y in examples]
+        self.base = sum(c for c, (_, _, y) in zip(counts, examples, strict=True) if y) / sum(counts) if examples else 0.0
         self.index = None
         if 0 < self.base < 1:
             self._fit(sorted(examples, key=lambda e: (e[2], e[0])))
@@ -150,8 +151,8 @@ class Model:
         vectors = [self.vector(words) for _, words, _ in examples]
         self.index = BlockMaxIndex([dict(zip(t.tolist(), w.tolist(), strict=True)) for t, w in vectors], len(kept))
         votes = np.array([self.vote(*self.index.search(t, w, self.k, without=i)) for i, (t, w) in enumerate(vectors)])
-        # The sample holds classes in other shares than the labels do: calibrate as if it did not.
-        self.curve = logistic(votes, self.labels)
+        # The sample holds classes in other shares than the labels do: each example counts for the labels it stands for.
+        self.curve = logistic(votes, self.labels, counts=np.where(self.labels == 1, self.stands[1], self.stands[0]))
 
     def vector(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Unit TF-IDF vector: term numbers and weights."""
@@ -208,9 +209,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                     names=["doc_id", "label", "words", "counts"],
                 )
 
-    picked = sample(docs, labels, "toxic", {1: MOST_TOXIC, 0: MOST_CLEAN})
+    picked, stands = sample(docs, labels, "toxic", {1: MOST_TOXIC, 0: MOST_CLEAN})
     rows = picked.mapInArrow(count, "doc_id long, label int, words array<string>, counts array<int>").collect()
-    return Model([(r["doc_id"], Counter(dict(zip(r["words"], r["counts"], strict=True))), r["label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["words"]))])
+    return Model([(r["doc_id"], Counter(dict(zip(r["words"], r["counts"], strict=True))), r["label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["words"]))], stands=stands)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -377,6 +377,26 @@ def test_op9_search_is_exact_and_learns(spark):
     assert {r.score for r in toxicity.score(table, one).collect()} == {0.0}
 
 
+def test_op9_and_op10_scores_follow_the_shares_of_all_labels(spark, monkeypatch):
+    rng = random.Random(7)
+    words = [f"word{i}" for i in range(50)]
+    rows, labels = [], []
+    for i in range(900):
+        rare = i % 10 == 0
+        marked = rng.random() < (0.8 if rare else 0.2)
+        text = " ".join(rng.choice(words) for _ in range(20))
+        rows.append((i, text + " vile\nBUY | NOW | " * 2 if marked else text, "s"))
+        labels.append((i, int(rare), int(not rare)))
+    table, labels = docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    monkeypatch.setattr(toxicity, "MOST_TOXIC", 60)
+    monkeypatch.setattr(toxicity, "MOST_CLEAN", 120)
+    monkeypatch.setattr(crf_quality, "MOST_EACH", 60)
+    toxic, good = toxicity.fit(table, labels), crf_quality.fit(table, labels)
+    assert toxic.base == pytest.approx(0.1) and good.base == pytest.approx(0.9)
+    assert np.mean([r.score for r in toxicity.score(table, toxic).collect()]) == pytest.approx(0.1, abs=0.05)
+    assert np.mean([r.score for r in crf_quality.score(table, good).collect()]) == pytest.approx(0.9, abs=0.05)
+
+
 def test_op10_marginals_and_learning(spark):
     rng = np.random.default_rng(1)
     lengths, trans = np.array([1, 4, 3, 4]), rng.standard_normal((2, 2))
