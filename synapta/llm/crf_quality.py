@@ -3,8 +3,8 @@
 Every line is good or bad. Its score comes from binned features of the line and of the lines
 before and after it; transitions tie neighbours. The field is trained on a bounded sample of
 labelled documents whose lines take the document's label. Forward-backward gives each line's
-marginal probability of being good; their mean, weighted by line length, and a logistic curve
-make the document's score. Documents are scored on their own, many at a time.
+marginal probability of being good; their mean and the mean of the lines' own scores (before
+the chain), both weighted by line length, and a logistic curve make the document's score. Documents are scored on their own, many at a time.
 
 Edge cases: null text counts as empty, and an empty text is one empty line; null labels and
 labels of unknown documents teach nothing; of two labels for a document the larger holds; with
@@ -143,7 +143,7 @@ class Model:
         return self.weights[bins].sum(1)
 
     def document(self, e: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Length-weighted means of the lines' marginals, of the worst of them, and of their own scores."""
+        """Length-weighted means of the lines' marginals and of their own scores, which bypass the chain."""
         p, _, _ = Chains(lengths).marginals(e, self.trans)
         starts = np.cumsum(lengths) - lengths
         total = np.add.reduceat(sizes, starts)
