@@ -33,7 +33,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+    return ann.nearest(_table(spark, sf_dir, "embeddings")).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,22 +82,22 @@ QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_token_files,
 ORACLE: dict[str, str] = {}
 
 ORACLE["op2_line_dedup"] = r"""
-WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-numbered AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM split),
+WITH split AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+numbered AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM split),
 keyed AS (
-  SELECT doc_id, i, line,
+  SELECT r, doc_id, i, line,
          translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM numbered),
 shared AS (
   SELECT key, max(doc_id) AS last_id FROM keyed WHERE length(key) >= 40
-  GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+  GROUP BY key HAVING count(DISTINCT r) >= 5),
 marked AS (
-  SELECT k.doc_id, k.i, k.line, s.key IS NOT NULL AND k.doc_id <> s.last_id AS gone
+  SELECT k.r, k.doc_id, k.i, k.line, s.key IS NOT NULL AND k.doc_id IS DISTINCT FROM s.last_id AS gone
   FROM keyed k LEFT JOIN shared s ON k.key = s.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY r, doc_id
 """
 
 ORACLE["op5_top_products"] = r"""

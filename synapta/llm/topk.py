@@ -8,7 +8,7 @@ each query brings its k-th score among the rows of a bounded sample that have an
 number that the final k-th score reaches at least, so shards return only rows that may be results.
 
 Edge cases: null and non-finite vectors, null vec_id, and vectors of another length than most of
-the sample take no part (zero vectors do); rows with the query's own vec_id are no candidates;
+the table take no part (zero vectors do); rows with the query's own vec_id are no candidates;
 ties go to the smaller vec_id; products too large for doubles are computed in whole numbers,
 and scores beyond a long are set to its end; an empty table gives no rows.
 """
@@ -89,9 +89,9 @@ class KDTree:
 def top_products(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """(query_id, rank, vec_id, score): for every vec_id divisible by ``every`` the k rows of the largest product."""
     usable = V.valid(vectors, zero=True)
-    sample_ids, sample = V.sample_with_ids(usable)
+    d = V.usual_length(usable)
+    sample_ids, sample = V.fitted_sample(usable, d)
     sample = np.floor(sample * SCALE)
-    d = sample.shape[1]
 
     def reached(ids: np.ndarray, q: np.ndarray) -> np.ndarray:
         # Rows with the query's own id are no candidates, so they must not raise its k-th score.

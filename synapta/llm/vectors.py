@@ -30,19 +30,16 @@ def valid(vectors: DataFrame, zero: bool) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long"), v.alias("v")).filter(ok)
 
 
-def fitted_sample(vectors: DataFrame) -> np.ndarray:
-    """Up to ``SAMPLE`` vectors in the order of a hash of vec_id, all of the length most frequent among them."""
-    return sample_with_ids(vectors)[1]
+def usual_length(vectors: DataFrame) -> int:
+    """The most frequent length of all vectors (ties: the smaller); 1 for an empty table."""
+    row = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    return row["d"] if row else 1
 
 
-def sample_with_ids(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The same, as (ids, vectors)."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).collect()
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros((0, 1))
-    d = int(np.bincount([len(r["v"]) for r in rows]).argmax())
-    rows = [r for r in rows if len(r["v"]) == d]
-    return np.array([r["vec_id"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.float64)
+def fitted_sample(vectors: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to ``SAMPLE`` vectors of length d in the order of a hash of vec_id, as (ids, vectors)."""
+    rows = vectors.filter(F.size("v") == d).orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).collect()
+    return np.array([r["vec_id"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.float64).reshape(-1, d)
 
 
 def matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -99,23 +96,25 @@ def shards(batches, d: int):
         yield np.concatenate(ids), np.concatenate(vectors)
 
 
-def search(vectors: DataFrame, d: int, blocks: list[str], index, kind: str) -> DataFrame:
-    """Rows (query_id, vec_id, score) that ``index(ids, vectors)(ids, q, bounds)`` yields from every shard and block."""
+def search(vectors: DataFrame, d: int, blocks: list[str], index, kind: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (query_id, vec_id, score, and ``more`` counts) that ``index(ids, vectors)(ids, q, bounds)`` yields from every shard and block."""
+    score = pa.float64() if kind == "double" else pa.int64()
 
     def run(batches):
         for ids, v in shards(batches, d):
             ask = index(ids, v)
             for name in blocks:
-                q, found, scores = ask(*read_queries(name))
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.float64() if kind == "double" else pa.int64())], names=["query_id", "vec_id", "score"])
+                q, found, scores, *counts = ask(*read_queries(name))
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(found, pa.int64()), pa.array(scores, score), *[pa.array(c, pa.int64()) for c in counts]], names=["query_id", "vec_id", "score", *more])
 
-    return vectors.filter(F.size("v") == d).mapInArrow(run, f"query_id long, vec_id long, score {kind}")
+    schema = f"query_id long, vec_id long, score {kind}" + "".join(f", {c} long" for c in more)
+    return vectors.filter(F.size("v") == d).mapInArrow(run, schema)
 
 
 def best(found: DataFrame, k: int, *order: Column) -> DataFrame:
     """The k first rows of each query: Spark limits each task's groups before the exchange."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", *[c for c in found.columns if c != "query_id"])
 
 
 def first(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:

@@ -152,9 +152,46 @@ def test_multi_index_finds_every_code_within_the_radius():
     codes = rng.integers(0, 2**16, (4000, 8), np.uint16)
     codes[:50] = codes[0] ^ (1 << rng.integers(0, 16, (50, 8))).astype(np.uint16) * (rng.random((50, 8)) < 0.3)
     index = ann.MultiIndex(codes)
-    for r in (0, 3, 9, 17, 40):
-        want = np.flatnonzero(np.bitwise_count(codes ^ codes[0]).sum(1) <= r)
-        assert sorted(index.within(codes[0], r).tolist()) == want.tolist()
+    for t in (0, 1, 3, 5):
+        got = index.probe(codes[0], t).tolist()
+        near = np.bitwise_count(codes ^ codes[0])
+        assert got == np.flatnonzero(near.min(1) <= t).tolist()
+        assert set(np.flatnonzero(near.sum(1) <= 8 * (t + 1) - 1).tolist()) <= set(got)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_op4_probes_part_of_the_codes_with_recall(spark, sf):
+    import os
+
+    path = f"/root/testdata/{sf}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    table = spark.read.parquet(path)
+    rows = [(r.vec_id, r.embedding) for r in table.collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], "f8")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got, narrow, hits = ann.nearest(table).collect(), 0, 0
+    by = defaultdict(list)
+    for r in got:
+        by[r.query_id].append(r)
+    for q in ids[ids % 50 == 0].tolist():
+        s = np.where(ids == q, -2, x @ x[ids == q][0])
+        hits += len(set(ids[np.lexsort((ids, -s))[:5]].tolist()) & {r.vec_id for r in by[q]})
+        narrow += all(r.probed < r.held for r in by[q])
+    assert hits >= 0.9 * 5 * len(by) and narrow > 0.9 * len(by)
+    if sf == "sf0.1":
+        assert np.mean([r.probed / r.held for r in got]) < 0.5
+
+
+def test_op4_of_repeated_rows(spark):
+    v = np.random.default_rng(4).standard_normal((80, 4)).astype("f4")
+    rows = [(0, v[0].tolist())] * 12 + [(i, v[i].tolist()) for i in range(1, 80)] + [(7, v[7].tolist())] * 3
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect()
+    x = v.astype("f8") / np.linalg.norm(v.astype("f8"), axis=1, keepdims=True)
+    for q in (0, 50):
+        mine = [r.vec_id for r in got if r.query_id == q]
+        s = sorted(((-round(float(x[i] @ x[q]), 12), i) for i, _ in rows if i != q))[:5]
+        assert len(mine) == 5 and q not in mine and len(set(mine) & {i for _, i in s}) >= len({i for _, i in s}) - 1
 
 
 def test_op5_is_exact(spark):
@@ -214,7 +251,12 @@ def test_op6_reads_back_what_it_formats(spark):
     shared = 0
     for tree in trees.collect():
         for node, spans in zip(tree.nodes, tree.ancestors, strict=True):
-            assert node.position == sum(s.stop - s.start for s in spans)
+            way, at = set(), node.parent
+            while at >= 0:
+                way |= set(range(tree.nodes[at].start, tree.nodes[at].stop))
+                at = tree.nodes[at].parent
+            assert way == {i for s in spans for i in range(s.start, s.stop)} and node.position == len(way)
+            assert all(a.stop < b.start for a, b in zip(spans, spans[1:]))
             assert list(tree.position_ids[node.start : node.stop]) == list(range(node.position, node.position + node.stop - node.start))
         shared += len(tree.leaves) > 1
     assert shared and chat.format_chats(table.limit(0)).count() == 0
@@ -401,7 +443,7 @@ def test_op10_marginals_and_learning(spark):
     rng = np.random.default_rng(1)
     lengths, trans = np.array([1, 4, 3, 4]), rng.standard_normal((2, 2))
     e = rng.standard_normal(lengths.sum())
-    p, z, counts = crf_quality.Chains(lengths).marginals(e, trans, pairs=True)
+    p, odds, z, counts = crf_quality.Chains(lengths).marginals(e, trans, pairs=True)
     want, want_z, want_counts, at = [], 0.0, np.zeros((2, 2)), 0
     for n in lengths:
         w = np.array([np.exp(sum(e[at + t] * (s >> t & 1) for t in range(n)) + sum(trans[s >> t & 1, s >> t + 1 & 1] for t in range(n - 1))) for s in range(1 << n)])
@@ -411,7 +453,7 @@ def test_op10_marginals_and_learning(spark):
                 want_counts[s >> t & 1, s >> t + 1 & 1] += w[s] / w.sum()
         want_z += np.log(w.sum())
         at += n
-    assert np.allclose(p, want) and np.isclose(z, want_z) and np.allclose(counts, want_counts)
+    assert np.allclose(p, want) and np.allclose(odds, np.log(p / (1 - p))) and np.isclose(z, want_z) and np.allclose(counts, want_counts)
     r = random.Random(2)
     good = lambda: "\n".join(" ".join(r.choice(["the", "river", "runs", "slowly", "to", "sea"]) for _ in range(9)).capitalize() + "." for _ in range(6))
     bad = lambda: good().split("\n")[0] + "\n" + "\n".join("BUY | NOW | " * 4 for _ in range(5))
