@@ -7,7 +7,8 @@ shared with the conversation before is not emitted again. A tree (an output row)
 before it exceeds ``tree_tokens`` or where the first turn changes; it holds, depth first, the
 token ids of its nodes, a position id per token that restarts after the node's parent, the loss
 mask, and for each node the intervals of its ancestors, which are what its tokens may attend to
-besides their own node. Memory is one tree and one conversation.
+besides their own node. Intervals that touch are one, so only branches add to them, not turns.
+Memory is one tree and one conversation.
 
 Template: ``### role: text</turn>`` and a line feed per turn. Inside roles and texts every
 backslash is doubled, and ``###``, ``</turn>`` and (in roles) ``:`` get one in front, so no
@@ -111,12 +112,18 @@ class Tree:
     def row(self, tree_id: int) -> dict:
         spans: list[list[dict]] = []
         for node in self.nodes:
-            p = node["parent"]
-            spans.append([] if p < 0 else [*spans[p], {"start": self.nodes[p]["start"], "stop": self.nodes[p]["stop"]}])
+            if (p := node["parent"]) < 0:
+                spans.append([])
+                continue
+            above, start, stop = spans[p], self.nodes[p]["start"], self.nodes[p]["stop"]
+            if above and above[-1]["stop"] == start:
+                spans.append([*above[:-1], {"start": above[-1]["start"], "stop": stop}])
+            else:
+                spans.append([*above, {"start": start, "stop": stop}])
         return {"tree_id": tree_id, "ids": np.frombuffer(self.ids, np.int32), "position_ids": np.frombuffer(self.positions, np.int32), "nodes": self.nodes, "ancestors": spans, "leaves": self.leaves}
 
 
-def build_trees(rows: Iterator[tuple[int | None, list[tuple[str, str]]]], path: str, tree_tokens: int, tree_leaves: int) -> Iterator[Tree]:
+def build_trees(rows: Iterator[tuple[int | None, list[tuple[str, str]]]], path: str, tree_tokens: int | None, tree_leaves: int | None) -> Iterator[Tree]:
     """Trees of conversations that come in the order of their turns."""
     tok, tree = encoder(path), Tree()
     for conv, turns in rows:
@@ -124,7 +131,8 @@ def build_trees(rows: Iterator[tuple[int | None, list[tuple[str, str]]]], path:
         texts = [x for role, text in turns[common:] for x in format_turn(role, text)]
         ids = [array("i", x) for x in tok.encode(texts)]
         grows = sum(map(len, ids))
-        if tree.leaves and (common == 0 or len(tree.ids) + grows > tree_tokens or len(tree.leaves) >= tree_leaves):
+        full = tree_tokens and len(tree.ids) + grows > tree_tokens or tree_leaves and len(tree.leaves) >= tree_leaves
+        if tree.leaves and (common == 0 or full):
             yield tree
             tree = Tree()
             if common:
@@ -135,11 +143,12 @@ def build_trees(rows: Iterator[tuple[int | None, list[tuple[str, str]]]], path:
         yield tree
 
 
-def format_chats(conversations: DataFrame, path: str | None = None, tree_tokens: int = 65_536, tree_leaves: int = 1_024) -> DataFrame:
+def format_chats(conversations: DataFrame, path: str | None = None, tree_tokens: int | None = 65_536, tree_leaves: int | None = 1_024) -> DataFrame:
     """Trees of ``conversations`` (conv_id, turn, role, text): see ``SCHEMA``.
 
     A leaf names the node where a conversation ends (-1: it has no turns); its tokens are those
-    of the node's ancestors and the node. A single conversation is never cut, however long.
+    of the node's ancestors and the node. A single conversation is never cut, however long. The two
+    bounds keep a tree small enough to train on; with None for both, a shared turn is emitted once a partition.
     """
     path = path or default_path()
     rows = conversations.select(
@@ -189,9 +198,12 @@ def read_tree(row: dict, path: str) -> Iterator[tuple[int | None, str, str]]:
     ids = np.asarray(row["ids"], np.int32)
     whole = [decode(ids[n["start"] : n["stop"]]) for n in row["nodes"]]
     loss = [unescape(decode(ids[n["loss_start"] : n["loss_stop"]])) if n["loss_stop"] > n["loss_start"] else "" for n in row["nodes"]]
-    by_start = {n["start"]: i for i, n in enumerate(row["nodes"])}
     for leaf in row["leaves"]:
-        way = [by_start[s["start"]] for s in row["ancestors"][leaf["node"]]] + [leaf["node"]] if leaf["node"] >= 0 else []
+        way, at = [], leaf["node"]
+        while at >= 0:
+            way.append(at)
+            at = row["nodes"][at]["parent"]
+        way.reverse()
         yield leaf["conv_id"], "".join(whole[i] for i in way), "".join(loss[i] for i in way)
 
 
