@@ -49,7 +49,23 @@ def save(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     uri = new_folder(spark, label)
     df.write.option("compression", "zstd").parquet(uri)
-    return spark.read.schema(df.schema).parquet(uri)
+    saved = spark.read.schema(df.schema).parquet(uri)
+    saved._saved_at = uri
+    return saved
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete saved tables that nothing reads any more; what ``save`` did not return is left alone."""
+    for table in tables:
+        if uri := getattr(table, "_saved_at", None):
+            spark = table.sparkSession
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df`` (a saved table of a few narrow columns), to be broadcast if it has at most ``most`` rows; else joins shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def partitions(spark: SparkSession) -> int:
