@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from synapta.llm import line_dedup, mixing, ngram_join, packing, toxicity
-from synapta.llm.shared import save
+from synapta.llm.shared import free, save
 
 #: SQL cannot express learnt scores or token ids; ``tests/llm`` holds the pipeline against brute force.
 ORACLE_SQL = None
@@ -54,5 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the last one's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, save(stage(spark, docs, sf_dir), f"stage-{name}")
+        free(before)
     return docs

@@ -4,8 +4,9 @@
 2. Candidates, without loss: two sets that link share one of their first n - ceil(t n) + 1
    elements in any order that is the same for all. The order is by hash, with the n-grams last
    that a bounded sample found in several documents, so shared passages seldom make candidates.
-3. The documents that have an element are sorted by size and cut into bands wherever the next
-   size is too far from the one before; bands of one document make no candidates.
+3. The documents that have an element are cut into bands wherever the next size is too far from
+   the one before; bands of one document make no candidates. Bands are made of classes of sizes
+   that lie close together, found by partial aggregates: no task sorts an element's documents.
 4. The documents of a band are tested against the smallest of them. That links the bulk of any
    group in linear work.
 5. Bands whose documents still are in different components are compared in tiles: blocks of
@@ -26,30 +27,32 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from synapta.llm.components import components
-from synapta.llm.shared import running_total, save
+from synapta.llm.shared import bounded, free, running_total, save
 from synapta.llm.tokens import text_groups
 
 _M1, _M2, _M3, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD))
 _S = np.uint64(32)
-#: Ids that may be broadcast (8 bytes each); beyond, the join shuffles. Blocks of a tile: rows and bytes.
-BROADCAST_IDS, BLOCK_ROWS, BLOCK_BYTES = 1_000_000, 512, 4 << 20
+#: Blocks of a tile: rows and bytes.
+BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
 #: Documents in the sample that finds common n-grams, documents that make one common, and n-grams kept.
 SAMPLE_DOCS, COMMON_DOCS, COMMON_MOST = 16_384, 2, 400_000
 #: Bits per element of the bitmaps (rounded up to a power of two in all).
 BITS = 1
-#: Word hashes that a worker keeps.
-MEMO = 500_000
+#: Words of at most so many bytes whose hashes a worker keeps, and how many.
+MEMO_BYTES, MEMO = 64, 500_000
 
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= MEMO_BYTES:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -173,7 +176,7 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int, label: str, exact: bool) -> D
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(made, pa.binary())], names=["doc_id", "n", name])
 
     name = "elements" if exact else "bits"
-    wanted = docs.join(_bounded(ids), "doc_id", "left_semi")
+    wanted = docs.join(bounded(ids), "doc_id", "left_semi")
     return save(wanted.mapInArrow(run, f"doc_id long, n long, {name} binary"), label)
 
 
@@ -188,7 +191,9 @@ def _verify(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, label
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     side = lambda k, e: sets.select(F.col("doc_id").alias(k), F.col("elements").alias(e))
-    return save(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), f"{label}-links")
+    links = save(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), f"{label}-links")
+    free(sets, ids)
+    return links
 
 
 def common_ngrams(docs: DataFrame, n: int) -> np.ndarray:
@@ -227,15 +232,23 @@ def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     signed = save(docs.mapInArrow(sign, "doc_id long, n long, key binary, signatures array<long>"), "ngram-sets")
     classes = save(signed.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "ngram-classes")
 
-    # Bands: documents with a common element whose sizes follow one another closely enough.
-    own = signed.join(_bounded(classes.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").select("n", "doc_id", F.explode("signatures").alias("signature"))
-    by_size = Window.partitionBy("signature").orderBy("n", "doc_id")
-    far = F.coalesce(den * F.lag("n").over(by_size) < num * F.col("n"), F.lit(True))
-    banded = own.withColumn("far", far.cast("int")).withColumn("band", F.sum("far").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+    # Bands: documents with a common element whose sizes follow one another closely enough. Sizes of one
+    # class are never too far apart (up to rounding, which only widens a band).
+    kind = _size_class(F.col("n"), num, den)
+    own = signed.join(bounded(classes.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").select("n", kind.alias("kind"), "doc_id", F.explode("signatures").alias("signature"))
+    several = own.groupBy("signature").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("signature")
+    own = save(own.join(several, "signature", "left_semi"), "ngram-shared")
+    steps = own.groupBy("signature", "kind").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    by_size = Window.partitionBy("signature").orderBy("kind")  # a class is a power of den / num: a bounded group
+    far = F.coalesce(den * F.lag("most").over(by_size) < num * F.col("least"), F.lit(True))
+    steps = steps.withColumn("far", far.cast("int")).withColumn("band", F.sum("far").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
     band = Window.partitionBy("signature", "band")
-    banded = banded.select("signature", "band", "doc_id", "n", F.min("doc_id").over(band).alias("pivot"), F.max("doc_id").over(band).alias("other")).filter("pivot <> other")
-    bands = save(banded.select(F.xxhash64("signature", "band").alias("band"), "doc_id", "n", "pivot"), "ngram-bands")
-    maps = _sets(docs, save(bands.select("doc_id").distinct(), "ngram-wanted"), n, "ngram-maps", exact=False)
+    steps = steps.select("signature", "kind", F.xxhash64("signature", "band").alias("band"), F.min("lo").over(band).alias("pivot"), F.max("hi").over(band).alias("other"))
+    steps = steps.filter("pivot <> other").drop("other")
+    bands = save(own.join(steps, ["signature", "kind"]).select("band", "doc_id", "n", "pivot"), "ngram-bands")
+    free(own)
+    wanted = save(bands.select("doc_id").distinct(), "ngram-wanted")
+    maps = _sets(docs, wanted, n, "ngram-maps", exact=False)
 
     def bound(batches):
         for batch in batches:
@@ -250,6 +263,7 @@ def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     pairs = pairs.join(pivots, "pivot").filter(near).join(maps.select("doc_id", "bits"), "doc_id")
     passed = save(pairs.select("doc_id", "pivot", "n", "pivot_n", "bits", "pivot_bits").mapInArrow(bound, "a long, b long"), "ngram-passed")
     links = _verify(docs, passed, n, num, den, "ngram-stars")
+    free(passed, wanted)
     found = components(links, "ngram-stars")
 
     # Bands whose classes are still apart.
@@ -266,15 +280,16 @@ def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
             sets = _sets(docs, groups.select("doc_id"), n, "ngram-exact", exact=True)
             rest = rest.select("doc_id", "n", "component").distinct().join(groups, "doc_id")
             found = components(links.unionByName(_tiles(sets, "elements", rest, num, den)), "ngram-all")
-
+            free(sets)
+    free(maps, bands, placed, apart)
     named = classes.join(found, classes["rep"] == found["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "key").join(named, "key", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _bounded(ids: DataFrame) -> DataFrame:
-    """``ids`` (a saved table of longs), broadcast if they are few enough."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def _size_class(n: Column, num: int, den: int) -> Column:
+    """Sizes that may link are in the same or in neighbouring classes (rounding may add one between)."""
+    return F.floor(F.log(n) / float(np.log(den / num))).cast("int")
 
 
 def _tiles(sets: DataFrame, kind: str, members: DataFrame, num: int, den: int) -> DataFrame:
@@ -289,11 +304,12 @@ def _tiles(sets: DataFrame, kind: str, members: DataFrame, num: int, den: int) -
 
     # Which blocks meet: blocks of one whole, of compatible sizes, not both of its main body.
     bands = save(rows.groupBy("whole", "main", "block").agg(F.min("n").alias("least"), F.max("n").alias("most")), "ngram-bands")
-    x, y = bands.alias("x"), bands.alias("y")
-    meet = x.join(y, F.col("x.whole") == F.col("y.whole")).filter(
-        "not x.main and (y.main or x.block <= y.block)"
-    ).filter((den * F.col("x.most") >= num * F.col("y.least")) & (den * F.col("y.most") >= num * F.col("x.least")))
-    meet = save(meet.select("x.whole", F.col("x.block").alias("i"), F.col("y.block").alias("j")), "ngram-meet")
+    low, high = _size_class(F.col("least"), num, den), _size_class(F.col("most"), num, den)
+    x = bands.filter("not main").withColumn("kind", F.explode(F.sequence(low, high))).alias("x")
+    y = bands.withColumn("kind", F.explode(F.sequence(low - 2, high + 2))).alias("y")
+    meet = x.join(y, (F.col("x.whole") == F.col("y.whole")) & (F.col("x.kind") == F.col("y.kind"))).filter("y.main or x.block <= y.block")
+    meet = meet.filter((den * F.col("x.most") >= num * F.col("y.least")) & (den * F.col("y.most") >= num * F.col("x.least")))
+    meet = save(meet.select("x.whole", F.col("x.block").alias("i"), F.col("y.block").alias("j")).distinct(), "ngram-meet")
     sides = meet.withColumn("block", F.col("i")).unionByName(meet.filter("i <> j").withColumn("block", F.col("j")))
     here = rows.join(sides, ["whole", "block"]).select("whole", "i", "j", "block", "doc_id", "component")
     here = here.join(sets.select("doc_id", "n", kind), "doc_id")
@@ -317,8 +333,15 @@ def _tiles(sets: DataFrame, kind: str, members: DataFrame, num: int, den: int) -
 def keep_one(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest ``doc_id``; columns unchanged.
 
-    Equal rows of that document are one; rows with a null ``doc_id`` stay.
+    Rows of that document with equal texts are one; rows with a null ``doc_id`` stay.
     """
-    found = link_components(docs, n, num, den).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(_bounded(save(found, "ngram-kept")), F.col("doc_id") == F.col("_kept"), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id is null"))
+    held = docs.select(F.struct("*").alias("held"), F.col("doc_id").cast("long").alias("id"))
+    found = save(link_components(docs, n, num, den).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("rows")), "ngram-kept")
+    once = held.join(bounded(found.filter("rows = 1").select("id")), "id", "left_semi").select("held")
+    again = save(found.filter("rows > 1").select("id"), "ngram-repeated")
+    out = once.unionByName(held.filter("id IS NULL").select("held"))
+    if not again.isEmpty():  # the hash of all columns decides which of several rows stays
+        text, names = F.col("held.text").cast("string"), [F.col(f"held.`{c}`") for c, t in docs.dtypes if "map<" not in t]
+        same = held.join(bounded(again), "id", "left_semi").groupBy("id", text.isNull().alias("none"), F.sha2(text, 256).alias("look"))
+        out = out.unionByName(same.agg(F.min_by("held", F.xxhash64(*names)).alias("held")).select("held"))
+    return out.select("held.*")
