@@ -13,8 +13,8 @@ import os
 import re
 from array import array
 
-#: A worker keeps the ids of the words it met last: up to twice so many.
-MEMO = 400_000
+#: A worker keeps the ids of the words of at most so many characters that it met last: up to twice so many.
+MEMO_CHARS, MEMO = 64, 400_000
 _CUT = re.compile(r"(?<=\S)(?= )")
 _AWKWARD = re.compile(r"\s\s|\0")
 _encoders: dict[str, Encoder] = {}
@@ -47,7 +47,8 @@ class _Memo(dict):
                 ids = array("I", [x.id for x in self.merge(word.encode().decode("latin-1").translate(_AS_CHARS))]).tobytes()
             else:
                 ids = self.whole(word)
-        self[word] = ids
+        if len(word) <= MEMO_CHARS:
+            self[word] = ids
         return ids
 
     def age(self) -> None:
