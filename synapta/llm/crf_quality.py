@@ -2,9 +2,12 @@
 
 Every line is good or bad. Its score comes from binned features of the line and of the lines
 before and after it; transitions tie neighbours. The field is trained on a bounded sample of
-labelled documents whose lines take the document's label. Forward-backward gives each line's
-marginal probability of being good; their mean and the mean of the lines' own scores (before
-the chain), both weighted by line length, and a logistic curve make the document's score. Documents are scored on their own, many at a time.
+labelled documents whose lines take the document's label; of a document with more than
+``SAMPLE_LINES`` lines the sample holds a stretch of so many, at a place that a hash of its
+doc_id chooses. Forward-backward gives each line's marginal probability of being good. The means
+of these marginals and of their log odds (which are clipped, and tell apart what a mean near 0 or
+1 no longer does), both weighted by line length, and a logistic curve make the document's score.
+Documents are scored whole and on their own, many at a time.
 
 Edge cases: null text counts as empty, and an empty text is one empty line; null labels and
 labels of unknown documents teach nothing; of two labels for a document the larger holds; with
@@ -18,6 +21,7 @@ from operator import eq, ne
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,8 +29,8 @@ from pyspark.sql import types as T
 from synapta.llm.learning import logistic, sample
 from synapta.llm.tokens import text_groups
 
-#: Labelled documents that are learnt from, per class, in the order of a hash of doc_id; longer ones are left out of the sample.
-MOST_EACH, SAMPLE_LINES = 2_000, 500
+#: Labelled documents that are learnt from, per class, in the order of a hash of doc_id, and lines of each at most.
+MOST_EACH, SAMPLE_LINES = 2_000, 128
 BINS, STEPS = 8, 120
 #: Typographic marks that running text seldom repeats.
 MARKS = "|!#$%&*<>{}[]=_~^/\\@+"
@@ -71,7 +75,7 @@ class Chains:
         self.last = self.starts + self.lengths - 1
 
     def marginals(self, e: np.ndarray, trans: np.ndarray, pairs: bool = False):
-        """P(good) per line, log Z summed, and (if asked for) expected counts of transitions."""
+        """Per line P(good) and its log odds, log Z summed, and (if asked for) expected counts of transitions."""
         alpha, beta = np.zeros((len(e), 2)), np.zeros((len(e), 2))
         own = np.stack([np.zeros(len(e)), e], 1)
         for t, k in enumerate(self.active):
@@ -92,7 +96,7 @@ class Chains:
             for i in (0, 1):
                 for j in (0, 1):
                     counts[i, j] = np.exp(alpha[b - 1, i] + trans[i, j] + own[b, j] + beta[b, j] - z[b]).sum()
-        return p, float(z[self.last].sum()), counts
+        return p, both[:, 1] - both[:, 0], float(z[self.last].sum()), counts
 
 
 class Model:
@@ -119,8 +123,9 @@ class Model:
         within[np.cumsum(lengths) - lengths] = False
         seen = np.array([[np.sum(within & (y == 0)), 0], [0, np.sum(within & (y == 1))]], np.float64)
         for step in range(1, STEPS + 1):  # Adam on the penalized likelihood
-            p, _, counts = chains.marginals(self.emissions(bins), self.trans, pairs=True)
-            g = np.bincount(bins.ravel(), np.repeat((y - p) * share, bins.shape[1]), len(self.weights)) / len(examples) - 1e-3 * self.weights
+            p, _, _, counts = chains.marginals(self.emissions(bins), self.trans, pairs=True)
+            miss = (y - p) * share
+            g = sum(np.bincount(b, miss, len(self.weights)) for b in bins.T) / len(examples) - 1e-3 * self.weights
             g = np.concatenate([g, ((seen - counts) / len(x) - 1e-2 * self.trans).ravel()])
             mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
             move = 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
@@ -137,18 +142,18 @@ class Model:
         before[1:], after[:-1] = own[:-1], own[1:]
         before[ends - lengths], after[ends - 1] = BINS, BINS
         place = np.arange(f) * width
-        return np.concatenate([own + place, before + place + f * width, after + place + 2 * f * width], 1)
+        return np.concatenate([own + place, before + place + f * width, after + place + 2 * f * width], 1).astype(np.int16)
 
     def emissions(self, bins: np.ndarray) -> np.ndarray:
-        return self.weights[bins].sum(1)
+        return sum(self.weights[b] for b in bins.T)
 
     def document(self, e: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Length-weighted means of the lines' marginals and of their own scores, which bypass the chain."""
-        p, _, _ = Chains(lengths).marginals(e, self.trans)
+        """Length-weighted means of the lines' marginals and of their log odds."""
+        p, odds, _, _ = Chains(lengths).marginals(e, self.trans)
         starts = np.cumsum(lengths) - lengths
         total = np.add.reduceat(sizes, starts)
         mean = lambda v: np.add.reduceat(v * sizes, starts) / total
-        return np.stack([mean(p), np.clip(mean(e), -20, 20) / 4], 1)
+        return np.stack([mean(p), mean(np.clip(odds, -20, 20)) / 4], 1)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not self.fitted:
@@ -166,10 +171,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def features(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                text = batch.column("text")[i].as_py()
-                if (text or "").count("\n") < SAMPLE_LINES:
-                    f, s = line_features(text)
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), batch.column("label").slice(i, 1), pa.array([f.tobytes()], pa.binary()), pa.array([s.tobytes()], pa.binary())], names=["doc_id", "label", "f", "s"])
+                doc = batch.column("doc_id")[i].as_py()
+                f, s = line_features(batch.column("text")[i].as_py())
+                at = xxhash.xxh3_64_intdigest(str(doc)) % (len(f) - SAMPLE_LINES + 1) if len(f) > SAMPLE_LINES else 0
+                f, s = f[at : at + SAMPLE_LINES], s[at : at + SAMPLE_LINES]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), batch.column("label").slice(i, 1), pa.array([f.tobytes()], pa.binary()), pa.array([s.tobytes()], pa.binary())], names=["doc_id", "label", "f", "s"])
 
     picked, stands = sample(docs, labels, "quality", {0: MOST_EACH, 1: MOST_EACH})
     rows = picked.mapInArrow(features, "doc_id long, label int, f binary, s binary").collect()

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, counts: np.ndarray | None = None) -> np.ndarray:
-    """Weights of a logistic regression with intercept, by Newton's method; ``counts``: how many rows each stands for."""
+    """Weights of a logistic regression with intercept (which the ridge spares), by Newton's method; ``counts``: how many rows each stands for."""
     share = np.ones(len(y)) if counts is None else counts * (len(y) / counts.sum())
     x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(x.shape[1])
+    w, held = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    held[0] = 1e-6
     for _ in range(50):
         p = 1 / (1 + np.exp(-(x @ w)))
-        step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (share * (y - p)) - ridge * w)
+        step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + np.diag(held), x.T @ (share * (y - p)) - held * w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
