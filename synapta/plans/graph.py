@@ -126,8 +126,10 @@ def p3_bulk_update(spark, d):
     return G.update_where(_e(spark, d), F.col("entity_type") == "part", relevance=C.boosted(F.col("relevance"))).select("entity_id", "relevance")
 
 
-_PH = f""", t AS (SELECT memory_id, regexp_replace(regexp_replace(content, 'Round \\d+:\\s*User:\\s*', '', 'g'), '\\s*\\|\\s*Assistant:\\s*', ' ', 'g') AS x FROM memories WHERE strlen(content) = len(content)),
-l AS (SELECT memory_id, list_slice(regexp_extract_all(x, '\\b([A-Z][a-zA-Z]+(?:\\s+[A-Z][a-zA-Z]+)*)\\b', 1), 1, 5) || regexp_extract_all(x, '\\b([A-Z][a-zA-Z]{{2,}})\\b', 1) AS ls FROM t),
+#: White space of any script, and words with a letter or digit beyond ASCII: they become a mark, and then ASCII's word boundaries are those of every script.
+_SP, _FOREIGN = "[\\s\\x0B\\x{85}\\p{Z}]", "[\\p{L}\\p{N}_]*(?:[^\\P{L}a-zA-Z]|[^\\P{N}0-9])[\\p{L}\\p{N}_]*"
+_PH = f""", t AS (SELECT memory_id, regexp_replace(regexp_replace(regexp_replace(content, 'Round \\p{{Nd}}+:{_SP}*User:{_SP}*', '', 'g'), '{_SP}*\\|{_SP}*Assistant:{_SP}*', ' ', 'g'), '{_FOREIGN}', '0', 'g') AS x FROM memories),
+l AS (SELECT memory_id, list_slice(regexp_extract_all(x, '\\b([A-Z][a-zA-Z]+(?:{_SP}+[A-Z][a-zA-Z]+)*)\\b', 1), 1, 5) || regexp_extract_all(x, '\\b([A-Z][a-zA-Z]{{2,}})\\b', 1) AS ls FROM t),
 u AS (SELECT memory_id, unnest(ls) AS label, generate_subscripts(ls, 1) AS pos FROM l),
 n AS (SELECT lower(trim(label)) AS key, min(memory_id * 1000000 + pos) AS place FROM u WHERE lower(trim(label)) NOT IN ({", ".join(f"'{w}'" for w in STOP)}) GROUP BY 1) """
 
@@ -157,7 +159,7 @@ def _parts(spark, d):
 
 
 _J = jaccard_sql(words_sql("lower(a.p_name)"), words_sql("lower(b.p_name)"))
-_CAND = f"c AS (SELECT 'p' || a.p_partkey AS a, 'p' || b.p_partkey AS b, a.p_partkey AS ka, b.p_partkey AS kb, 0.5e0 * {_J} + 0.2e0 + 0.3e0 * (a.p_brand = b.p_brand)::INT AS s FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_partkey < b.p_partkey AND b.p_partkey < 300)"
+_CAND = f"c AS (SELECT 'p' || a.p_partkey AS a, 'p' || b.p_partkey AS b, a.p_partkey AS ka, b.p_partkey AS kb, 0.5e0 * {_J} + 0.2e0 + 0.3e0 * (a.p_brand = b.p_brand)::INT AS s FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_partkey < b.p_partkey)"
 
 
 @query(f"WITH {_CAND} SELECT a, b, round(s, 6) AS similarity FROM c WHERE s >= 0.6")
@@ -165,7 +167,7 @@ def q3_c10_merge_candidates(spark, d):
     return G.merge_candidates(_parts(spark, d), 0.6).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("WITH p AS (SELECT v.vec_id, v.label, embedding::DOUBLE[] AS e, list_extract(['red ring', 'red bolt', 'blue ring'], v.vec_id % 3 + 1) AS name FROM embeddings v WHERE vec_id < 120), c AS (SELECT a.vec_id AS a, b.vec_id AS b, 0.7e0 * list_cosine_similarity(a.e, b.e) + 0.3e0 * CASE WHEN a.name = b.name THEN 1e0 WHEN a.vec_id % 3 + b.vec_id % 3 = 3 THEN 0e0 ELSE 1e0 / 3 END AS s FROM p a JOIN p b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT a, b, round(s, 6) AS similarity FROM c WHERE s >= 0.3")
+@query("WITH p AS (SELECT v.vec_id, v.label, embedding::DOUBLE[] AS e, list_extract(['red ring', 'red bolt', 'blue ring'], v.vec_id % 3 + 1) AS name FROM embeddings v), c AS (SELECT a.vec_id AS a, b.vec_id AS b, 0.7e0 * list_cosine_similarity(a.e, b.e) + 0.3e0 * CASE WHEN a.name = b.name THEN 1e0 WHEN a.vec_id % 3 + b.vec_id % 3 = 3 THEN 0e0 ELSE 1e0 / 3 END AS s FROM p a JOIN p b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT a, b, round(s, 6) AS similarity FROM c WHERE s >= 0.3")
 def q4_semantic_candidates(spark, d):
     names = F.array(*map(F.lit, ("red ring", "red bolt", "blue ring")))
     v = V.table(spark, d, "embeddings").withColumn("name", F.element_at(names, (F.col("vec_id") % 3 + 1).cast("int")))

@@ -9,7 +9,7 @@ from synapta.functions import similarity as Sim
 from synapta.functions import text as X
 from synapta.operators import memory as M
 from synapta.plans import query
-from synapta.plans.scalars import jaccard_sql, values, words_sql
+from synapta.plans.scalars import values, words_sql
 
 AS_OF = 1706745600
 
@@ -54,7 +54,7 @@ def _blocks(spark, d):
     return m.select("memory_id", "session_id", "content", F.element_at(kinds, (F.col("memory_id") % 7 + 1).cast("int")).alias("kind"), F.col("confidence").alias("score"))
 
 
-@query(V.sql(f"SELECT session_id, memory_id, row_number() OVER (PARTITION BY session_id ORDER BY memory_id % 7, confidence DESC, memory_id)::BIGINT AS place FROM memories WHERE memory_id < 200", "memories"))
+@query(V.sql(f"SELECT session_id, memory_id, row_number() OVER (PARTITION BY session_id ORDER BY memory_id % 7, confidence DESC, memory_id)::BIGINT AS place FROM memories", "memories"))
 def f6_block_order(spark, d):
     w = Window.partitionBy("session_id").orderBy(M.block_rank(F.col("kind")), F.desc("score"), "memory_id")
     return _blocks(spark, d).select("session_id", "memory_id", F.row_number().over(w).cast("long").alias("place"))
@@ -83,7 +83,11 @@ def l2_search_relevance(spark, d):
     return m.crossJoin(best).select("memory_id", F.round(0.5 * F.col("hits") / F.col("best") + 0.2 * F.col("importance"), 6).alias("score"))
 
 
-_JW = f", w AS (SELECT memory_id, session_id, content, confidence, created_at, {words_sql('content')} AS w FROM memories WHERE n_chars < 3000), p AS (SELECT a.memory_id AS a, b.memory_id AS b, {jaccard_sql('a.w', 'b.w')} AS j, a.w AS aw, b.w AS bw, a.content AS ac, b.content AS bc, a.confidence AS acf, b.confidence AS bcf FROM w a JOIN w b ON a.session_id = b.session_id AND a.memory_id < b.memory_id) "
+#: Pairs of one session that share a word, with the Jaccard similarity j of their words and the share of b's that a holds.
+_JW = f""", w AS (SELECT memory_id, session_id, content, confidence, {words_sql('content')} AS w FROM memories),
+s AS (SELECT memory_id, session_id, len(w) AS n, unnest(w) AS word FROM w),
+c AS (SELECT a.memory_id AS a, b.memory_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*)::DOUBLE AS common FROM s a JOIN s b ON a.session_id = b.session_id AND a.word = b.word AND a.memory_id < b.memory_id GROUP BY ALL),
+p AS (SELECT a, b, common / (na + nb - common) AS j, common / nb AS held, x.content AS ac, y.content AS bc, x.confidence AS acf, y.confidence AS bcf FROM c JOIN w x ON x.memory_id = a JOIN w y ON y.memory_id = b WHERE common / (na + nb - common) > 0.3) """
 
 
 @query(V.sql(_JW + "SELECT memory_id, CASE WHEN memory_id IN (SELECT b FROM p WHERE j > 0.95) THEN 0e0 ELSE 1e0 END AS coherence FROM w", "memories"))
@@ -91,8 +95,8 @@ def l3_coherence(spark, d):
     return M.coherence(V.memories(spark, d)).select("memory_id", "coherence")
 
 
-_PACK = f""", s AS (SELECT session_id || '-' || (memory_id % 25) AS session_id, memory_id, round({_SCORE}, 9) AS score, token_estimate AS tokens FROM memories WHERE memory_type = 'semantic'),
-o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, memory_id) AS rn FROM s),
+_PACK = f""", s AS (SELECT session_id, memory_id, round({_SCORE}, 9) AS score, token_estimate AS tokens FROM memories),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, memory_id) AS rn FROM s),
 r AS (SELECT session_id, rn, CASE WHEN tokens <= 5632 THEN tokens ELSE 0 END AS used, CASE WHEN tokens <= 5632 THEN 1 ELSE 0 END AS chosen FROM o WHERE rn = 1
   UNION ALL SELECT o.session_id, o.rn, CASE WHEN r.used + tokens <= 5632 AND chosen < 20 THEN r.used + tokens ELSE r.used END, CASE WHEN r.used + tokens <= 5632 AND chosen < 20 THEN chosen + 1 ELSE chosen END FROM r JOIN o ON o.session_id = r.session_id AND o.rn = r.rn + 1)
 SELECT session_id, max_by(used, rn)::BIGINT AS used, max_by(chosen, rn)::BIGINT AS chosen, (max(rn) - max_by(chosen, rn))::BIGINT AS skipped FROM r GROUP BY session_id"""
@@ -106,7 +110,7 @@ def l4_budget_pack(spark, d):
 _HEAD = "CASE kind WHEN 'working' THEN '[Working Memory]' || chr(10) WHEN 'episodic' THEN '[Previous Conversation]' || chr(10) WHEN 'semantic' THEN '[Relevant Information]' || chr(10) WHEN 'procedural' THEN '[Skill]' || chr(10) WHEN 'entity' THEN '[Entity]' || chr(10) ELSE '' END"
 
 
-@query(V.sql(f", b AS (SELECT *, {_KINDS} AS kind FROM memories WHERE memory_id < 200) SELECT session_id, sha256(regexp_replace(string_agg({_HEAD} || content || CASE kind WHEN 'conversation' THEN chr(10) ELSE chr(10) || chr(10) END, '' ORDER BY memory_id % 7, confidence DESC, memory_id), '^\\s+|\\s+$', '', 'g')) AS context_sha256 FROM b GROUP BY session_id", "memories"))
+@query(V.sql(f", b AS (SELECT *, {_KINDS} AS kind FROM memories) SELECT session_id, sha256(regexp_replace(string_agg({_HEAD} || content || CASE kind WHEN 'conversation' THEN chr(10) ELSE chr(10) || chr(10) END, '' ORDER BY memory_id % 7, confidence DESC, memory_id), '^\\s+|\\s+$', '', 'g')) AS context_sha256 FROM b GROUP BY session_id", "memories"))
 def l6_format_context(spark, d):
     return M.format_blocks(_blocks(spark, d)).select("session_id", F.sha2("context", 256).alias("context_sha256"))
 
@@ -176,7 +180,7 @@ def n3_consolidate(spark, d):
     return M.consolidate(V.memories(spark, d)).select("cluster", "size", "words", "summary")
 
 
-_JOBS = ", j AS (SELECT op_id AS job_id, list_extract(['queued', 'running', 'done', 'failed'], op_id % 4 + 1) AS status, ts FROM operations WHERE op_id < 400) "
+_JOBS = ", j AS (SELECT op_id AS job_id, list_extract(['queued', 'running', 'done', 'failed'], op_id % 4 + 1) AS status, ts FROM operations) "
 
 
 def jobs(spark, d):
@@ -195,7 +199,7 @@ def o1_c11_neighbours(spark, d):
 
 
 _NEG = "regexp_matches(lower({0}), 'not|no|never|false|wrong|instead')"
-_KIND = f"CASE WHEN a % 2 = 0 AND j > 0.8 THEN 'supersedes' WHEN strlen(ac) > strlen(bc) AND len(list_intersect(aw, bw))::DOUBLE / len(bw) > 0.7 THEN 'elaborates' WHEN j > 0.6 THEN 'supports' WHEN j > 0.4 AND {_NEG.format('ac')} <> {_NEG.format('bc')} THEN 'contradicts' ELSE 'unrelated' END"
+_KIND = f"CASE WHEN a % 2 = 0 AND j > 0.8 THEN 'supersedes' WHEN strlen(ac) > strlen(bc) AND held > 0.7 THEN 'elaborates' WHEN j > 0.6 THEN 'supports' WHEN j > 0.4 AND {_NEG.format('ac')} <> {_NEG.format('bc')} THEN 'contradicts' ELSE 'unrelated' END"
 
 
 def _links(spark, d):
