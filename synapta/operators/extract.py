@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from synapta.functions import text as X
+from synapta.operators.joins import holding
 
 # Phrases that begin a fact, its category and confidence.
 FACT_RULES = (("i like |i prefer ", "preference", 0.8), ("my name is", "personal", 0.9), ("i plan |i want to ", "plan", 0.7))
@@ -79,7 +80,7 @@ def event_times(parsed: DataFrame) -> DataFrame:
 
 def dictionary_entities(docs: DataFrame, names: DataFrame) -> DataFrame:
     """(doc_id, name, entity_type, confidence) for every name (name, entity_type) that a text holds, in its case."""
-    hits = docs.join(F.broadcast(names), F.contains(F.col("content"), F.col("name")))
+    hits = holding(docs, "content", names, "name")
     return hits.select("doc_id", "name", "entity_type", F.lit(DICTIONARY_CONFIDENCE).alias("confidence"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from synapta.functions import scoring
 from synapta.functions.similarity import jaccard_ci
+from synapta.storage import bounded, free, saved
 
 EDGE = ["subject_id", "predicate", "object_id"]
 
@@ -90,20 +91,40 @@ def merge_score(a: Column, b: Column, attributes: Column | None) -> Column:
     return names / 0.7 if attributes is None else names + 0.3 * attributes
 
 
-def merge_candidates(entities: DataFrame, least: float = 0.85, similarity: Column | None = None) -> DataFrame:
-    """Pairs (a, b, similarity) of one type, a before b by ord, live both.
+def merge_candidates(entities: DataFrame, least: float = 0.85) -> DataFrame:
+    """Pairs (a, b, similarity) of one type, a before b by ord, live both, of a merge score of at least ``least``.
 
-    Blocked on type and one shared lower-cased word of the name: without one the name similarity is 0
-    and the score at most a half. ``similarity`` may replace the score (aliases x and y).
+    The score bounds the Jaccard similarity of the names from below, by more where the attributes
+    differ. Pairs with equal attributes meet on type, attribute and a word, others on type and a
+    word; of the words only so many of a name's rarest as the bound needs (prefix filter). Where
+    no common word is needed at all, equal attributes alone make a pair.
     """
-    live = entities.filter(~F.col("is_deprecated"))
-    words = live.select("*", F.explode(F.array_distinct(F.split(F.lower("name"), r"\s+"))).alias("_w"))
-    x, y = words.alias("x"), words.alias("y")
-    met = x.join(y, (F.col("x.entity_type") == F.col("y.entity_type")) & (F.col("x._w") == F.col("y._w")) & (F.col("x.ord") < F.col("y.ord")))
-    own = F.when(F.col("x.attribute") == F.col("y.attribute"), 1.0).otherwise(0.0)
-    s = similarity if similarity is not None else merge_score(F.col("x.name"), F.col("y.name"), own)
-    scored = met.select(F.col("x.entity_id").alias("a"), F.col("y.entity_id").alias("b"), s.alias("similarity"))
-    return scored.filter(F.col("similarity") >= least).distinct()
+    live = entities.filter(~F.col("is_deprecated")).select("entity_id", "ord", "name", "entity_type", "attribute")
+    live = saved(live.withColumn("w", F.array_distinct(F.filter(F.split(F.lower("name"), r"\s+"), lambda x: x != ""))), "names")
+    words = live.select("entity_id", "entity_type", F.size("w").alias("n"), F.explode("w").alias("word"))
+    freq = words.groupBy("entity_type", "word").agg(F.count(F.lit(1)).alias("f"))
+    rank = F.row_number().over(Window.partitionBy("entity_id").orderBy("f", "word"))
+    ranked = saved(words.join(freq, ["entity_type", "word"]).select("entity_id", "word", "n", rank.alias("r")).join(live.drop("name", "w"), "entity_id"), "name-words")
+
+    def met(needed: float, same: bool) -> DataFrame:
+        least_j = max(0.0, needed - 1e-9)
+        if least_j <= 0:
+            x, y = live.alias("x"), live.alias("y")
+            on = F.lit(True)
+        else:
+            head = ranked.filter(F.col("r") <= F.col("n") - F.ceil(least_j * F.col("n")) + 1)
+            x, y = head.alias("x"), head.alias("y")
+            on = (F.col("x.word") == F.col("y.word")) & (F.col("x.n") >= least_j * F.col("y.n")) & (F.col("y.n") >= least_j * F.col("x.n"))
+        on = on & (F.col("x.entity_type") == F.col("y.entity_type")) & (F.col("x.ord") < F.col("y.ord"))
+        on = on & (F.col("x.attribute") == F.col("y.attribute")) if same else on & ~F.coalesce(F.col("x.attribute") == F.col("y.attribute"), F.lit(False))
+        return x.join(y, on).select(F.col("x.entity_id").alias("a"), F.col("y.entity_id").alias("b"), F.lit(1.0 if same else 0.0).alias("own")).distinct()
+
+    pairs = met((least - 0.5) / 0.5, True)
+    if least <= 1 - 0.3:
+        pairs = pairs.unionByName(met((least - 0.2) / 0.5, False))
+    side = lambda n: live.select(F.col("entity_id").alias(n), F.col("name").alias(f"{n}_name"))
+    full = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("similarity", merge_score(F.col("a_name"), F.col("b_name"), F.col("own")))
+    return full.filter(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
 def keep_first(a_importance: Column, b_importance: Column) -> Column:
@@ -122,17 +143,16 @@ def apply_merges(entities: DataFrame, edges: DataFrame, merges: DataFrame) -> tu
     return out, migrate(edges, merges.select(F.col("gone").alias("from_id"), F.col("keep").alias("to_id")))
 
 
-def roots(merges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(keep, gone) with chains followed to their ends: each round halves a chain's length; at most ``rounds``."""
-    m = merges
-    for _ in range(rounds):
+def roots(merges: DataFrame) -> DataFrame:
+    """(keep, gone) with chains followed to their ends: each round halves what is left of a chain. Chains must have ends."""
+    m = saved(merges.select("keep", "gone"), "merges")
+    while True:
         up = m.select(F.col("gone").alias("keep"), F.col("keep").alias("_up"))
-        m = m.join(up, "keep", "left").select(F.coalesce("_up", "keep").alias("keep"), "gone", F.col("_up").isNotNull().alias("_moved")).persist()
-        moved = not m.filter("_moved").isEmpty()
-        m = m.drop("_moved")
-        if not moved:
-            break
-    return m
+        further = saved(m.join(up, "keep", "left").select(F.coalesce("_up", "keep").alias("keep"), "gone", F.col("_up").isNotNull().alias("_moved")), "merges")
+        free(m)
+        if further.filter("_moved").isEmpty():
+            return further.drop("_moved")
+        m, m._saved_at = further.drop("_moved"), further._saved_at
 
 
 def evolve(entities: DataFrame, edges: DataFrame, least: float = 0.8, deprecate_below: float = 0.05) -> tuple[DataFrame, DataFrame]:
@@ -143,7 +163,7 @@ def evolve(entities: DataFrame, edges: DataFrame, least: float = 0.8, deprecate_
     first = keep_first(F.col("ia"), F.col("ib"))
     gone = ranked.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("keep"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("gone"), F.greatest("ia", "ib").alias("i"))
     best = gone.groupBy("gone").agg(F.max_by("keep", F.struct("i", "keep")).alias("keep")).select("keep", "gone")
-    merged, moved = apply_merges(entities, edges, roots(best))
+    merged, moved = apply_merges(entities, edges, bounded(roots(best)))
     return update_where(merged, F.col("relevance") < deprecate_below, is_deprecated=F.lit(True)), moved
 
 

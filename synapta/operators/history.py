@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from synapta.operators.joins import holding
+from synapta.storage import free, saved
+
 
 def put(objects: DataFrame, new: DataFrame) -> DataFrame:
     """Objects (kind, payload) by the hash of their payload; each is stored once."""
@@ -17,33 +20,27 @@ def merge_commits(parents: DataFrame) -> DataFrame:
     return parents.groupBy("oid").agg(F.count("parent").alias("parents")).filter("parents > 1")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Computed once, with its lineage cut; below the checkpoint folder where there is one."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        return df.localCheckpoint()
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()
-
-
 def ancestors(parents: DataFrame, heads: DataFrame, depth: int | None = None) -> DataFrame:
     """(head, oid, depth) of everything reachable from ``heads`` (head), itself at 0; nearest depth of each.
 
     Pointer doubling: ``jump`` leads 2^k generations up, so round k adds the depths from 2^k to 2^(k+1) - 1, until a
     round reaches nothing new. ``depth`` may bound the walk.
     """
-    jump = _cut(parents.filter("parent IS NOT NULL").select(F.col("oid").alias("low"), F.col("parent").alias("high")).distinct())
-    walk = _cut(heads.filter("head IS NOT NULL").select("head", F.col("head").alias("oid"), F.lit(0).alias("depth")).distinct())
+    jump = saved(parents.filter("parent IS NOT NULL").select(F.col("oid").alias("low"), F.col("parent").alias("high")).distinct(), "jumps")
+    walk = saved(heads.filter("head IS NOT NULL").select("head", F.col("head").alias("oid"), F.lit(0).alias("depth")).distinct(), "walk")
     step, size = 1, walk.count()
     while depth is None or step <= depth:
         further = walk.join(jump, F.col("oid") == F.col("low")).select("head", F.col("high").alias("oid"), (F.col("depth") + step).alias("depth"))
-        walk = _cut(walk.unionByName(further).groupBy("head", "oid").agg(F.min("depth").alias("depth")))
-        before, size = size, walk.count()
+        longer = saved(walk.unionByName(further).groupBy("head", "oid").agg(F.min("depth").alias("depth")), "walk")
+        free(walk)
+        walk, before, size = longer, size, longer.count()
         if size == before:
             break
         up = jump.select(F.col("low").alias("high"), F.col("high").alias("_up"))
-        jump, step = _cut(jump.join(up, "high").select("low", F.col("_up").alias("high")).distinct()), 2 * step
+        twice, step = saved(jump.join(up, "high").select("low", F.col("_up").alias("high")).distinct(), "jumps"), 2 * step
+        free(jump)
+        jump = twice
+    free(jump)
     return walk if depth is None else walk.filter(F.col("depth") <= depth)
 
 
@@ -106,9 +103,9 @@ def prune(worktrees: DataFrame, now: Column, idle_seconds: int = 86_400) -> Data
 
 def triggered(skills: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, slug) of every skill one of whose patterns a query holds, in any case."""
-    patterns = skills.select("slug", F.explode("patterns").alias("pattern"))
-    hit = F.contains(F.lower("query"), F.lower("pattern"))
-    return queries.join(F.broadcast(patterns), hit).select("query", "slug").distinct()
+    patterns = skills.select("slug", F.explode(F.transform("patterns", F.lower)).alias("pattern"))
+    low = queries.select("query", F.lower("query").alias("low"))
+    return holding(low, "low", patterns, "pattern").select("query", "slug").distinct()
 
 
 def next_steps(steps: DataFrame) -> DataFrame:

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from synapta.storage import saved
 
-def with_rank(hits: DataFrame, *partition: str) -> DataFrame:
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy(*partition).orderBy(F.desc("score"), F.asc("doc_id"))))
+
+def with_rank(hits: DataFrame, most: int) -> DataFrame:
+    """The ``most`` best hits (a bounded heap per task) with their rank from 1, written once: fusion reads a list several times."""
+    best = hits.orderBy(F.desc("score"), F.asc("doc_id")).limit(most)
+    return saved(best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.asc("doc_id")))), "ranked")
 
 
 def _sides(keyword: DataFrame, semantic: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from synapta.functions.similarity import cosine, jaccard_sets
 from synapta.functions.text import negated, word_set
+from synapta.storage import bounded, saved
 
 # Token limits by tier, ages in seconds after which a tier is left, order of block types.
 TIER_LIMITS = {"working": 4096, "short": 16384, "long": 1048576}
@@ -70,17 +71,22 @@ def similar_pairs(memories: DataFrame, above: float) -> DataFrame:
     """Pairs a < b of one session whose word sets have a Jaccard similarity above ``above``: (a, b, similarity).
 
     Exact prefix filter: words in the order of their frequency, rarest first; two sets that are so
-    similar share one of their first n - ceil(above * n) + 1 words. Sizes must be compatible, too.
+    similar share one of their first n - ceil(above * n) + 1 words. Sizes must be compatible, and
+    behind the first common word there must be room for the overlap that is needed (positions).
+    The word sets are written once.
     """
-    sets = memories.select("memory_id", "session_id", word_set(F.col("content")).alias("w")).filter(F.size("w") > 0)
+    sets = saved(memories.select("memory_id", "session_id", word_set(F.col("content")).alias("w")).filter(F.size("w") > 0), "word-sets")
     words = sets.select("memory_id", "session_id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    freq = words.groupBy("session_id", "word").agg(F.count(F.lit(1)).alias("f"))
-    rank = F.row_number().over(Window.partitionBy("memory_id").orderBy("f", "word"))
-    prefix = words.join(freq, ["session_id", "word"]).withColumn("r", rank).filter(F.col("r") <= F.col("n") - F.ceil(F.lit(above) * F.col("n")) + 1)
-    prefix = prefix.select("memory_id", "session_id", "n", "word")
+    freq = words.groupBy("session_id", "word").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    # Words of one memory alone come first in the order, and make no pair: only the others are ranked, behind them.
+    shared = words.join(freq, ["session_id", "word"])
+    rank = F.row_number().over(Window.partitionBy("memory_id").orderBy("f", "word")) + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("memory_id"))
+    prefix = shared.withColumn("r", rank).filter(F.col("r") <= F.col("n") - F.ceil(F.lit(above) * F.col("n")) + 1)
+    prefix = saved(prefix.select("memory_id", "session_id", "n", "word", "r"), "prefixes")
     x, y = prefix.alias("x"), prefix.alias("y")
     close = (F.col("x.n") >= above * F.col("y.n")) & (F.col("y.n") >= above * F.col("x.n"))
-    met = x.join(y, (F.col("x.session_id") == F.col("y.session_id")) & (F.col("x.word") == F.col("y.word")) & (F.col("x.memory_id") < F.col("y.memory_id")) & close)
+    room = 1 + F.least(F.col("x.n") - F.col("x.r"), F.col("y.n") - F.col("y.r")) >= above / (1 + above) * (F.col("x.n") + F.col("y.n")) - 1e-6
+    met = x.join(y, (F.col("x.session_id") == F.col("y.session_id")) & (F.col("x.word") == F.col("y.word")) & (F.col("x.memory_id") < F.col("y.memory_id")) & close & room)
     pairs = met.select(F.col("x.memory_id").alias("a"), F.col("y.memory_id").alias("b")).distinct()
     side = lambda n: sets.select(F.col("memory_id").alias(n), F.col("w").alias(f"w{n}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("similarity", jaccard_sets(F.col("wa"), F.col("wb")))
@@ -122,6 +128,40 @@ def format_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("session_id").agg(F.trim(F.regexp_replace(F.array_join(F.transform(listed, lambda x: x["p"]), ""), r"^\s+|\s+$", "")).alias("context"))
 
 
+def context_blocks(memories: DataFrame, skills: DataFrame, entities: DataFrame, relationships: DataFrame) -> DataFrame:
+    """Blocks (session_id, kind, memory_id, score, content) of all sources of a context.
+
+    ``memories`` are blocks already; ``skills`` (session_id, slug, body, score), ``entities`` (session_id, entity_id,
+    name, entity_type, score) and ``relationships`` (session_id, subject_name, predicate, object_name, score)
+    become one block each, of the kinds procedural and entity, without a memory_id.
+    """
+    none = F.lit(None).cast("long").alias("memory_id")
+    block = lambda df, kind, text: df.select("session_id", F.lit(kind).alias("kind"), none, "score", text.alias("content"))
+    parts = [
+        block(skills, "procedural", F.concat_ws("\n", "slug", "body")), block(entities, "entity", F.concat("name", F.lit(" ("), "entity_type", F.lit(")"))),
+        block(relationships, "entity", F.concat_ws(" ", "subject_name", "predicate", "object_name")),
+    ]
+    out = memories.select("session_id", "kind", "memory_id", "score", "content")
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
+def contradictions(blocks: DataFrame, most: int = 20) -> DataFrame:
+    """(session_id, a, b) of selected blocks (session_id, memory_id, score, content) just one of which is negated: an optional
+    check after packing. A context holds at most ``most`` blocks; of more, the best count, so pairs are bounded."""
+    n = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("score"), "memory_id"))
+    held = blocks.select("session_id", "memory_id", negated(F.col("content")).alias("neg"), n.alias("n")).filter(F.col("n") <= most)
+    x, y = held.filter("neg"), held.filter("NOT neg").select("session_id", F.col("memory_id").alias("other"))
+    met = x.join(y, "session_id")
+    return met.select("session_id", F.least("memory_id", "other").alias("a"), F.greatest("memory_id", "other").alias("b"))
+
+
+def replaces(kind: Column, score: Column, old_kind: Column, old_score: Column) -> Column:
+    """Whether a new block should replace a conflicting one: the same kind, and a higher score."""
+    return (kind == old_kind) & (score > old_score)
+
+
 def contradictory(a: Column, b: Column) -> Column:
     """Whether just one of two selected texts is negated."""
     return negated(a) != negated(b)
@@ -179,8 +219,15 @@ def token_saving(summaries: DataFrame) -> DataFrame:
     return summaries.agg(F.sum("words").alias("before"), F.sum(after).alias("after"), (F.sum("words") - F.sum(after)).alias("saved"))
 
 
-def consolidate(memories: DataFrame) -> DataFrame:
-    """One consolidation cycle: clusters, their summaries, and what stays of each."""
+# Names of the consolidation strategies.
+STRATEGIES = ("hierarchical_summary", "topic_clustering", "semantic_deduplication", "full_reconstruction")
+
+
+def consolidate(memories: DataFrame, strategy: str = "topic_clustering") -> DataFrame:
+    """One consolidation cycle: clusters, their summaries, and what stays of each. A job names one of ``STRATEGIES``;
+    by decision all four cluster by topic, as in the original, where the name is kept with the job and never consulted."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"{strategy} is none of {', '.join(STRATEGIES)}")
     clusters = cluster_sessions(memories).join(memories, "memory_id")
     return summarize(clusters)
 
@@ -197,11 +244,20 @@ SUPPORT = 0.05
 
 
 def neighbours(new: DataFrame, old: DataFrame, above: float = 0.7) -> DataFrame:
-    """Old memories near a new one of the same session: by cosine if the new one has an embedding, else by words."""
-    pair = new.alias("n").join(old.alias("o"), (F.col("n.session_id") == F.col("o.session_id")) & (F.col("n.memory_id") != F.col("o.memory_id")))
-    words = jaccard_sets(word_set(F.col("n.content")), word_set(F.col("o.content")))
-    sim = F.when(F.col("n.embedding").isNotNull(), F.when(F.col("o.embedding").isNotNull(), cosine(F.col("n.embedding"), F.col("o.embedding")))).otherwise(words)
-    return pair.withColumn("similarity", sim).filter(F.col("similarity") > above)
+    """(new, old, similarity) of old memories near a new one of the same session: by cosine if the new one has an
+    embedding, else by words. New memories are the query set: words meet by ``similar_pairs``, embeddings of one
+    session by its id, the new ones broadcast if they are few."""
+    plain = new.filter("embedding IS NULL").select("memory_id", "session_id", "content").withColumn("_new", F.lit(True))
+    both = plain.unionByName(old.select("memory_id", "session_id", "content").join(plain.select("memory_id"), "memory_id", "left_anti").withColumn("_new", F.lit(False)))
+    is_new = both.filter("_new").select("memory_id")
+    pairs = similar_pairs(both, above)
+    turned = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    told = old.select(F.col("memory_id").alias("old"))
+    words = turned.join(is_new.withColumnRenamed("memory_id", "a"), "a", "left_semi").select(F.col("a").alias("new"), F.col("b").alias("old"), "similarity").join(told, "old", "left_semi")
+    n = bounded(new.filter("embedding IS NOT NULL").select(F.col("memory_id").alias("new"), "session_id", F.col("embedding").alias("_e")))
+    o = old.filter("embedding IS NOT NULL").select(F.col("memory_id").alias("old"), "session_id", F.col("embedding").alias("_f"))
+    met = o.join(n, "session_id").filter("new <> old").withColumn("similarity", cosine(F.col("_e"), F.col("_f"))).filter(F.col("similarity") > above)
+    return words.select("new", "old", "similarity").unionByName(met.select("new", "old", "similarity"))
 
 
 def relation(similarity: Column, contained: Column, newer: Column, longer: Column, opposed: Column) -> Column:

@@ -1,18 +1,19 @@
 """Full-text search: postings, BM25 in two length modes, phrase, fuzzy, and pattern terms.
 
 Ranking a handful of terms needs no index and no shuffle of documents: every document counts
-its query terms in place, one row of corpus statistics is aggregated with partial sums, and the
-top k come from a bounded heap per task. ``postings`` builds the persistent index for the rest.
+its query terms in place, the counts are written, one row of corpus statistics is aggregated from
+them with partial sums, and the top k come from a bounded heap per task. ``postings`` builds the persistent index for the rest.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from synapta.functions.text import tokens
+from synapta.storage import saved
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -22,10 +23,10 @@ def postings(docs: DataFrame) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """``docs`` with dl (tokens) and tf (count of each query term, in order)."""
-    held = docs.withColumn("_tokens", tokens(F.col("content"))).withColumn("dl", F.size("_tokens").cast("long"))
-    count = lambda t: F.size(F.filter("_tokens", lambda x: x == t)).cast("long")
-    return held.withColumn("tf", F.array(*[count(t) for t in terms])).drop("_tokens")
+    """``docs`` without content, with dl (tokens) and tf (count of each query term, in order): texts are split once."""
+    count = lambda w, t: F.size(F.filter(w, lambda x: x == t)).cast("long")
+    held = F.transform(F.array(tokens(F.col("content"))), lambda w: F.struct(F.size(w).cast("long").alias("dl"), F.array(*[count(w, t) for t in terms]).alias("tf")))
+    return docs.withColumn("_held", held[0]).select(*[c for c in docs.columns if c != "content"], "_held.dl", "_held.tf")
 
 
 def corpus_stats(counted: DataFrame, n_terms: int) -> DataFrame:
@@ -35,10 +36,11 @@ def corpus_stats(counted: DataFrame, n_terms: int) -> DataFrame:
 
 
 def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75, length: str = "doc", where: Column | None = None, min_score: float = 0.0, most: float | None = None) -> DataFrame:
-    """``docs`` that hold a term, with score. ``length``: what is normalised by the average document
+    """``docs`` (without content) that hold a term, with score. ``length``: what is normalised by the average document
     length, the document's tokens ("doc") or the term's own count ("tf"). ``where`` restricts the
-    hits; statistics stay those of all ``docs``."""
-    counted = term_counts(docs, terms)
+    hits; statistics stay those of all ``docs``. One pass over the texts writes the counts, which
+    statistics and hits both read."""
+    counted = saved(term_counts(docs, terms), "counts")
     stats = F.broadcast(corpus_stats(counted, len(terms)))
     hits = counted.filter(F.exists("tf", lambda x: x > 0))
     if where is not None:
@@ -53,6 +55,18 @@ def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75, le
     return out.filter(F.col("score") > min_score).drop("tf", "n", "avgdl", "df")
 
 
+def query_terms(spark: SparkSession, query: str) -> list[str]:
+    """The distinct terms of a query text, by the tokenizer of the index, in order."""
+    return spark.range(1).select(F.array_distinct(tokens(F.lit(query)))).first()[0]
+
+
+def search(docs: DataFrame, query: str, limit: int = 10) -> DataFrame:
+    """The best documents for a query text (limits as in ``clamp_limit``); none for a text without terms."""
+    terms = query_terms(docs.sparkSession, query)
+    hits = bm25(docs, terms) if terms else docs.drop("content").withColumns({"dl": F.lit(0).cast("long"), "score": F.lit(0.0)}).filter(F.lit(False))
+    return top(hits, clamp_limit(limit))
+
+
 def clamp_limit(limit: int) -> int:
     """Limits of the native index: 1 to 100."""
     return max(1, min(100, limit))
@@ -105,8 +119,3 @@ def multipart_text(parts: Column) -> Column:
 def without_sessions(docs: DataFrame, sessions: DataFrame) -> DataFrame:
     """The index's documents after its sessions were deleted; statistics follow from the result."""
     return docs.join(sessions.select("session_id"), "session_id", "left_anti")
-
-
-def ranked(hits: DataFrame, *partition: str) -> DataFrame:
-    """Adds rank (from 1) by score and id."""
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy(*partition).orderBy(F.desc("score"), F.asc("doc_id"))))

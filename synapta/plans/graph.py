@@ -212,7 +212,23 @@ def q9_update_entity(spark, d):
     return G.update_where(_e(spark, d).filter("entity_type = 'region'"), F.col("entity_id") == "r2", name=F.lit("Renamed"), confidence=F.lit(0.9)).select("entity_id", "name", "confidence")
 
 
-@query()
+_PARTS = "e AS (SELECT 'p' || p_partkey AS entity_id, (p_partkey * 53 % 51 + 50) / 100.0e0 AS confidence, (p_partkey * 37 % 101) / 100.0e0 AS relevance FROM part)"
+_CYCLE = f"""WITH RECURSIVE {_CAND}, {_PARTS}, k AS (SELECT CASE WHEN {_IMP.format(k='ka')} >= {_IMP.format(k='kb')} THEN a ELSE b END AS keep, CASE WHEN {_IMP.format(k='ka')} >= {_IMP.format(k='kb')} THEN b ELSE a END AS gone, greatest({_IMP.format(k='ka')}, {_IMP.format(k='kb')}) AS i FROM c WHERE s >= 0.9),
+m AS (SELECT gone, max_by(keep, (i, keep)) AS keep FROM k GROUP BY gone),
+r AS (SELECT gone, keep FROM m UNION ALL SELECT r.gone, m.keep FROM r JOIN m ON m.gone = r.keep),
+t AS (SELECT gone, keep FROM r WHERE keep NOT IN (SELECT gone FROM m)),
+u AS (SELECT keep, sum(confidence) AS plus FROM t JOIN e ON e.entity_id = gone GROUP BY keep)
+SELECT entity_id, entity_id IN (SELECT gone FROM m) OR relevance < 0.05 AS is_deprecated, round(least(1e0, confidence + 0.5e0 * coalesce(plus, 0)), 6) AS confidence FROM e LEFT JOIN u ON keep = entity_id"""
+
+
+@query("SELECT o_orderkey AS seq, o_custkey AS customer FROM orders WHERE o_custkey = 7")
+def b17_records_of_entity(spark, d):
+    """Every order is a record that touches its customer and itself."""
+    records = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("customer"), F.array(F.concat(F.lit("c"), "o_custkey"), F.concat(F.lit("o"), "o_orderkey")).alias("entity_ids"))
+    return G.records_for(records, "c7").select("seq", "customer")
+
+
+@query(_CYCLE)
 def q10_evolution_cycle(spark, d):
     none = spark.createDataFrame([], "subject_id string, predicate string, object_id string")
     out, _ = G.evolve(_parts(spark, d), none, 0.9)

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from synapta import views as V
 from synapta.operators import evaluation as E
 from synapta.plans import query
+from synapta.plans.search import _T
+from synapta.storage import work_folder
 from synapta.streaming import live as L
 
 
@@ -18,6 +20,8 @@ def t1_tumbling_counts(spark, d):
 
 
 _GAPS = ", g AS (SELECT session_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM operations WINDOW w AS (PARTITION BY session_id ORDER BY ts)), i AS (SELECT session_id, ts, sum(new) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT session_id, floor(epoch(min(ts)))::BIGINT AS start, count(*) AS n FROM i GROUP BY session_id, s"
+#: A stream gives out what is over: all that ended ten minutes before the last event.
+_OVER = " HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM operations) - INTERVAL 10 MINUTE"
 
 
 @query(V.sql(_GAPS, "operations"))
@@ -25,7 +29,13 @@ def t2_idle_sessions(spark, d):
     return L.sessions(V.operations(spark, d))
 
 
-@query()
+@query(V.sql(_GAPS + _OVER, "operations"))
+def t2_idle_stream(spark, d):
+    """The same as a stream in append mode: sessions that are still open stay in its state."""
+    return L.run_to_table(L.sessions(_stream(spark, d)), "append")
+
+
+@query(V.sql("SELECT session_id, floor(epoch(max(ts)))::BIGINT AS last FROM operations GROUP BY session_id HAVING floor(epoch(max(ts))) + 86400 <= (SELECT epoch(max(ts)) FROM operations) - 600", "operations"))
 def t3_ttl_timer(spark, d):
     return L.run_to_table(L.expire(_stream(spark, d), 86_400), "append")
 
@@ -35,15 +45,15 @@ def t4_running_budget(spark, d):
     return L.run_to_table(L.running_budget(_stream(spark, d)), "complete")
 
 
-@query()
+@query(V.sql("SELECT DISTINCT session_id, op_kind AS content FROM operations", "operations"))
 def t5_stream_dedup(spark, d):
     s = _stream(spark, d).select("session_id", "ts", F.col("op_kind").alias("content"))
     return L.run_to_table(L.distinct_content(s), "append").select("session_id", "content")
 
 
-@query()
+@query(f"WITH d AS (SELECT doc_id, text AS content FROM documents), t AS (SELECT doc_id, unnest({_T}) AS term FROM d) SELECT term, count(DISTINCT doc_id) AS df FROM t GROUP BY term")
 def t6_incremental_index(spark, d):
-    folder = L.work_folder(spark)
+    folder = work_folder(spark, "index")
     schema = V.table(spark, d, "documents").schema
     docs = spark.readStream.schema(schema).parquet(L.any_of(f"{d}/documents.parquet")).select("doc_id", F.col("text").alias("content"))
     L.incremental_index(docs, folder).awaitTermination()

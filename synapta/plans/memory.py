@@ -7,6 +7,7 @@ from synapta import views as V
 from synapta.functions import scoring as C
 from synapta.functions import similarity as Sim
 from synapta.functions import text as X
+from synapta.operators import graph as G
 from synapta.operators import memory as M
 from synapta.plans import query
 from synapta.plans.scalars import values, words_sql
@@ -115,6 +116,33 @@ def l6_format_context(spark, d):
     return M.format_blocks(_blocks(spark, d)).select("session_id", F.sha2("context", 256).alias("context_sha256"))
 
 
+_NEGATED = "regexp_matches(lower(content), 'not|no|never|false|wrong|instead')"
+
+
+@query(V.sql(f", b AS (SELECT session_id, memory_id, {_NEGATED} AS neg FROM memories QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY confidence DESC, memory_id) <= 20) SELECT x.session_id, x.memory_id AS a, y.memory_id AS b FROM b x JOIN b y ON x.session_id = y.session_id AND x.memory_id < y.memory_id AND x.neg <> y.neg", "memories"))
+def l5_contradictions(spark, d):
+    return M.contradictions(_blocks(spark, d))
+
+
+_SKILLS = [("en", "deploy", "run the script", 0.9), ("de", "review", "read the change", 0.4)]
+_EXTRA = f""", b AS (SELECT session_id, {_KINDS} AS kind, memory_id, confidence AS score, content FROM memories
+  UNION ALL SELECT session_id, 'procedural', NULL, score, slug || chr(10) || body FROM {values(_SKILLS, 'session_id, slug, body, score')}
+  UNION ALL SELECT 'en', 'entity', NULL, relevance, name || ' (' || entity_type || ')' FROM entities WHERE entity_type = 'nation'
+  UNION ALL SELECT 'en', 'entity', NULL, 0.5e0, s.name || ' ' || predicate || ' ' || o.name FROM relationships JOIN entities s ON s.entity_id = subject_id JOIN entities o ON o.entity_id = object_id WHERE s.entity_type = 'nation')
+SELECT session_id, kind, coalesce(memory_id, -1) AS memory_id, round(score, 6) AS score, sha256(content) AS content_sha256 FROM b"""
+
+
+@query(V.sql(_EXTRA, "memories", "entities", "relationships"))
+def l7_extra_blocks(spark, d):
+    """Skills, entities and relationships beside the memories of a context."""
+    skills = spark.createDataFrame(_SKILLS, "session_id string, slug string, body string, score double")
+    e = V.entities(spark, d)
+    nations = e.filter("entity_type = 'nation'")
+    edges = G.resolve(V.relationships(spark, d).filter("predicate = 'located_in'"), e).filter("subject_type = 'nation'").withColumns({"session_id": F.lit("en"), "score": F.lit(0.5)})
+    blocks = M.context_blocks(_blocks(spark, d), skills, nations.select(F.lit("en").alias("session_id"), "entity_id", "name", "entity_type", F.col("relevance").alias("score")), edges)
+    return blocks.select("session_id", "kind", F.coalesce("memory_id", F.lit(-1)).alias("memory_id"), F.round("score", 6).alias("score"), F.sha2("content", 256).alias("content_sha256"))
+
+
 @query("SELECT n_name AS label, round(connections / 10e0, 6) AS relevance FROM (SELECT n_name, n_nationkey, count(c_custkey) AS connections FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL) WHERE contains('tell me about nation_1 and nation_12', lower(n_name)) OR contains(lower(n_name), 'tell me about nation_1 and nation_12') ORDER BY n_nationkey LIMIT 5")
 def l8_graph_context(spark, d):
     n, c = V.table(spark, d, "nation"), V.table(spark, d, "customer")
@@ -152,12 +180,18 @@ def m6_record_access(spark, d):
     return V.memories(spark, d).join(a, "memory_id", "left").select("memory_id", (F.col("access_count") + F.coalesce("n", F.lit(0))).alias("access_count"))
 
 
-@query()
+#: A memory's cluster is the first memory that ever earlier similar ones lead to: it joins the first cluster with a similar member.
+_CLUSTER = _JW + """, l AS (SELECT a, b FROM p JOIN memories x ON x.memory_id = a JOIN memories y ON y.memory_id = b WHERE j > 0.3 AND x.memory_type = y.memory_type),
+g AS (SELECT b AS m, a AS x FROM l UNION SELECT g.m, l.a FROM g JOIN l ON l.b = g.x), cl AS (SELECT memory_id, least(memory_id, coalesce(min(x), memory_id)) AS cluster FROM memories LEFT JOIN g ON m = memory_id GROUP BY memory_id)"""
+
+
+@query(V.sql(_CLUSTER + " SELECT memory_id, cluster FROM cl", "memories", recursive=True))
 def n1_cluster(spark, d):
     return M.cluster_sessions(V.memories(spark, d))
 
 
-_CL = ", c AS (SELECT memory_id - memory_id % 4 AS cluster, * FROM memories), w AS (SELECT *, len(list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '')) AS n, row_number() OVER (PARTITION BY cluster ORDER BY importance DESC, memory_id) AS r FROM c), s AS (SELECT cluster, count(*) AS size, avg(importance) AS importance, sum(n)::BIGINT AS words, CASE WHEN count(*) < 2 OR sum(n) < 50 THEN max_by(content, -r) ELSE string_agg(content, ' ' ORDER BY r) FILTER (WHERE r <= 3) END AS summary FROM w GROUP BY cluster)"
+_SUMS = ", v AS (SELECT *, len(list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '')) AS n, row_number() OVER (PARTITION BY cluster ORDER BY importance DESC, memory_id) AS r FROM c), z AS (SELECT cluster, count(*) AS size, avg(importance) AS importance, sum(n)::BIGINT AS words, CASE WHEN count(*) < 2 OR sum(n) < 50 THEN max_by(content, -r) ELSE string_agg(content, ' ' ORDER BY r) FILTER (WHERE r <= 3) END AS summary FROM v GROUP BY cluster)"
+_CL = ", c AS (SELECT memory_id - memory_id % 4 AS cluster, * FROM memories)" + _SUMS
 
 
 def _given(spark, d):
@@ -165,17 +199,17 @@ def _given(spark, d):
     return M.summarize(m.withColumn("cluster", F.col("memory_id") - F.col("memory_id") % 4))
 
 
-@query(V.sql(_CL + " SELECT cluster, size, round(importance, 6) AS importance, words, sha256(summary) AS summary_sha256 FROM s", "memories"))
+@query(V.sql(_CL + " SELECT cluster, size, round(importance, 6) AS importance, words, sha256(summary) AS summary_sha256 FROM z", "memories"))
 def n2_d13_summarize(spark, d):
     return _given(spark, d).select("cluster", "size", F.round("importance", 6).alias("importance"), "words", F.sha2("summary", 256).alias("summary_sha256"))
 
 
-@query(V.sql(_CL + ", t AS (SELECT sum(words)::BIGINT AS before, sum(len(list_filter(regexp_split_to_array(summary, '\\s+'), lambda x: x <> '')))::BIGINT AS after FROM s) SELECT before, after, before - after AS saved FROM t", "memories"))
+@query(V.sql(_CL + ", t AS (SELECT sum(words)::BIGINT AS before, sum(len(list_filter(regexp_split_to_array(summary, '\\s+'), lambda x: x <> '')))::BIGINT AS after FROM z) SELECT before, after, before - after AS saved FROM t", "memories"))
 def d14_token_saving(spark, d):
     return M.token_saving(_given(spark, d))
 
 
-@query()
+@query(V.sql(_CLUSTER + ", cm AS (SELECT cl.cluster, memories.* FROM memories JOIN cl USING (memory_id))" + _SUMS.replace("FROM c)", "FROM cm)") + " SELECT cluster, size, words, summary FROM z", "memories", recursive=True))
 def n3_consolidate(spark, d):
     return M.consolidate(V.memories(spark, d)).select("cluster", "size", "words", "summary")
 

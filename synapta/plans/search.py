@@ -9,7 +9,11 @@ from synapta.functions.similarity import cosine
 from synapta.operators import hybrid as H
 from synapta.operators import search as S
 from synapta.operators import vector as VS
+from synapta.operators import hierarchy as R
 from synapta.plans import query
+from synapta.plans.graph import _FOREIGN
+from synapta.sources import stores as A
+from synapta.storage import work_folder
 
 TERMS = ["from", "ther", "thon"]
 _T = "list_filter(regexp_split_to_array(regexp_replace(lower(content), '[^\\p{L}\\p{M}\\p{N}\\s]', '', 'g'), '\\s+'), lambda x: strlen(x) >= 2)"
@@ -55,6 +59,19 @@ def i4_scoped_search(spark, d):
     return _out(S.bm25(V.search_docs(spark, d), TERMS, where=F.col("doc_type") == "message"))
 
 
+@query("WITH " + _bm25("dl", tail="ORDER BY s DESC, doc_id LIMIT 20"))
+def i6_query_string(spark, d):
+    """A query text, split by the index's own tokenizer."""
+    return _out(S.search(_docs(spark, d), "From? THER, thon from!", 20))
+
+
+@query("SELECT conv_id, turn, 'text: ' || chr(10) || coalesce(text, '') || chr(10) || chr(10) || role AS content FROM conversations")
+def i11_multipart_text(spark, d):
+    part = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    c = V.table(spark, d, "conversations")
+    return c.select("conv_id", "turn", S.multipart_text(F.array(part("text", F.lit("text: ")), part("text", F.col("text")), part("image", F.lit("x.png")), part("text", F.col("role")))).alias("content"))
+
+
 @query("WITH " + _bm25("dl").replace("FROM documents", "FROM documents WHERE source <> 'src3'", 1))
 def i5_session_deleted(spark, d):
     gone = spark.createDataFrame([("src3",)], "session_id string")
@@ -108,26 +125,39 @@ def j4_vectors_deleted(spark, d):
     return VS.delete(v, v.filter("doc_id % 7 = 0")).groupBy(F.col("session_id").cast("long").alias("session_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT vec_id AS doc_id FROM embeddings WHERE len(embedding) = 64")
+def j1_checked_dimension(spark, d):
+    return VS.check_dimension(V.vectors(spark, d), 64).select("doc_id")
+
+
+@query(V.sql(f"SELECT v.doc_id, round({_COS}, 6) AS score FROM vectors v, vectors q WHERE q.doc_id = {QUERY_ID} AND v.session_id = 5 ORDER BY {_COS} DESC, v.doc_id LIMIT 10", "vectors"))
+def j5_session_index(spark, d):
+    """The index is written with a folder per session; the search opens one of them."""
+    path = work_folder(spark, "vectors")
+    A.save_vectors(V.vectors(spark, d), path)
+    return _out(S.top(VS.similar(A.load_vectors(spark, path, 5), _query_vector(spark, d), least=-1.0), 10))
+
+
+@query("SELECT doc_id, len(coalesce(text, ''))::DOUBLE AS chars, (len(coalesce(text, '')) - len(replace(coalesce(text, ''), ' ', '')))::DOUBLE AS blanks FROM documents")
 def j6_embed_texts(spark, d):
     model = lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts]
-    return VS.embed_batches(_docs(spark, d), model, 2)
+    return VS.embed_batches(_docs(spark, d), model, 2).select("doc_id", F.col("vector")[0].alias("chars"), F.col("vector")[1].alias("blanks"))
 
 
 def j7_hash_embedding(spark, d):
     return _docs(spark, d).select("doc_id", VS.hashed_embedding(F.col("content"), 16).alias("vector"))
 
 
-query()(j6_embed_texts)
 query()(j7_hash_embedding)
 
 
 def _keyword(spark, d):
-    return H.with_rank(S.top(S.bm25(_docs(spark, d), TERMS), 50)).select("doc_id", "rank", "score")
+    return H.with_rank(S.bm25(_docs(spark, d), TERMS), 50).select("doc_id", "rank", "score")
 
 
 def _semantic(spark, d):
-    hits = S.top(VS.similar(V.vectors(spark, d), _query_vector(spark, d), least=0.0), 50)
-    return H.with_rank(hits).select("doc_id", "rank", "score")
+    hits = VS.similar(V.vectors(spark, d), _query_vector(spark, d), least=0.0)
+    return H.with_rank(hits, 50).select("doc_id", "rank", "score")
 
 
 _LISTS = (
@@ -211,6 +241,11 @@ c AS (SELECT *, len(list_filter(w, lambda x: list_contains(qw, x))) / greatest(l
 e AS (SELECT *, s2 * CASE WHEN len(w) BETWEEN 10 AND 100 THEN 1.0e0 ELSE 0.8e0 END AS s3 FROM c)
 SELECT qid, message_id, round(s3, 6) AS score FROM e QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s3 DESC, message_id) <= 5""", "messages"))
 def k8_cascade(spark, d):
+    return _stages(spark, d)[2].select("qid", "message_id", F.round("s3", 6).alias("score"))
+
+
+def _stages(spark, d):
+    """The 50 best messages of each question, of these the 10 best by a second score, of these the 5 best by a third."""
     by = lambda c: F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(c), "message_id"))
     m = V.messages(spark, d).crossJoin(_questions(spark)).withColumn("w", X.words(F.lower("content")))
     a = m.withColumn("s1", H.overlap_score(F.col("qw"), F.array_distinct("w")))
@@ -218,7 +253,18 @@ def k8_cascade(spark, d):
     hits = F.size(F.filter("w", lambda x: F.array_contains(F.col("qw"), x)))
     c = b.withColumn("s2", hits / F.greatest(F.size("w"), F.lit(1))).withColumn("n", by("s2")).filter("n <= 10")
     e = c.withColumn("s3", F.col("s2") * F.when(F.size("w").between(10, 100), 1.0).otherwise(0.8)).withColumn("n", by("s3")).filter("n <= 5")
-    return e.select("qid", "message_id", F.round("s3", 6).alias("score"))
+    return b, c, e
+
+
+@query(V.sql(f""", {_QS}, a AS (SELECT qid, message_id, len(list_intersect(qw, {_WS.format('content')})) / (len(qw) + 1.0e0) AS s1, list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda x: x <> '') AS w, qw FROM messages, qs),
+b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s1 DESC, message_id) <= 50),
+c AS (SELECT *, len(list_filter(w, lambda x: list_contains(qw, x))) / greatest(len(w), 1)::DOUBLE AS s2 FROM b QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s2 DESC, message_id) <= 10),
+e AS (SELECT *, s2 * CASE WHEN len(w) BETWEEN 10 AND 100 THEN 1.0e0 ELSE 0.8e0 END AS s3 FROM c)
+SELECT qid, message_id, 1 AS stage FROM b UNION ALL SELECT qid, message_id, 2 FROM c UNION ALL SELECT qid, message_id, 3 FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s3 DESC, message_id) <= 5)""", "messages"))
+def f7_staged_topk(spark, d):
+    """What each stage of the cascade keeps: 50, 10 and 5 of a question."""
+    out = [t.select("qid", "message_id", F.lit(i).alias("stage")) for i, t in enumerate(_stages(spark, d), 1)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query()
@@ -236,13 +282,51 @@ def k10_chunks(spark, d):
     return c.select("doc_id", "c.start", F.length("c.chunk").cast("long").alias("size"))
 
 
-@query()
+def _re2(pattern: str) -> str:
+    """The pattern for DuckDB, over texts whose words beyond ASCII are masked."""
+    return pattern.replace(R.START, "\\b").replace(R.END, "\\b")
+
+
+#: Ten chats are the sessions of one conversation.
+_SUM = f""", t AS (SELECT session_id // 10 AS conversation_id, session_id, content AS x, regexp_replace(content, '{_FOREIGN}', '0', 'g') AS y, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS i, count(*) OVER (PARTITION BY session_id) AS n FROM messages),
+k AS (SELECT session_id, i AS o, x FROM t WHERE i = 1 UNION ALL SELECT session_id, 1.5, x FROM t WHERE i = n UNION ALL SELECT session_id, i, x FROM t WHERE i > 1 AND i < n AND regexp_matches(y, '{_re2(R.KEY)}')),
+ks AS (SELECT session_id, list_slice(list(x ORDER BY o), 1, 5) AS keys FROM k GROUP BY session_id),
+f AS (SELECT session_id, list(substring(x, 1, 200) ORDER BY i) AS fs FROM t WHERE regexp_matches(y, '{_re2(R.FACT)}') GROUP BY session_id),
+m AS (SELECT session_id, i, generate_subscripts(ns, 1) AS j, unnest(ns) AS name FROM (SELECT session_id, i, regexp_extract_all(y, '{_re2(R.NAME)}') AS ns FROM t)),
+m1 AS (SELECT session_id, name, min(i * 1000000 + j) AS spot FROM m GROUP BY ALL), ms AS (SELECT session_id, list_slice(list(name ORDER BY spot), 1, 10) AS names FROM m1 GROUP BY session_id),
+s AS (SELECT DISTINCT ON (session_id) t.conversation_id, t.session_id, 'Session ' || t.session_id || ': ' || coalesce(array_to_string(list_slice(fs, 1, 3), '; '), '') AS summary, coalesce(list_slice(fs, 1, 5), []) AS facts, coalesce(names, []) AS names, keys
+  FROM t LEFT JOIN f USING (session_id) LEFT JOIN ms USING (session_id) JOIN ks USING (session_id))"""
+
+
+def _summaries(spark, d):
+    m = V.messages(spark, d)
+    return R.summaries(m.select(F.floor(F.col("session_id") / 10).alias("conversation_id"), "session_id", "seq", "content"))
+
+
+@query(V.sql(_SUM + " SELECT session_id, summary, array_to_string(facts, '|') AS facts, array_to_string(names, '|') AS names, array_to_string(keys, '|') AS keys FROM s", "messages"))
+def k11_session_summaries(spark, d):
+    return _summaries(spark, d).select("session_id", "summary", *[F.array_join(c, "|").alias(c) for c in ("facts", "names", "keys")])
+
+
+_PARTS = _SUM + """, q AS (SELECT DISTINCT conversation_id, c::INT AS category FROM s, (VALUES (1), (2), (3), (4)) v(c)),
+p0 AS (SELECT conversation_id, category, session_id, unnest(CASE category WHEN 1 THEN list_transform(list_slice(keys, 1, 2), lambda x: {'stage': 0, 'cap': 2048 * 0.4e0, 'v': x})
+  WHEN 2 THEN [{'stage': 0, 'cap': 2048 * 0.3e0, 'v': summary}] WHEN 3 THEN [{'stage': 0, 'cap': 2048 * 0.3e0, 'v': summary}] || list_transform(facts, lambda x: {'stage': 1, 'cap': 2048 * 0.2e0, 'v': x})
+  ELSE [{'stage': 0, 'cap': 2048e0, 'v': summary}] END) AS p, generate_subscripts(CASE category WHEN 1 THEN list_slice(keys, 1, 2) WHEN 3 THEN [summary] || facts ELSE [summary] END, 1) AS pos FROM q JOIN s USING (conversation_id)),
+p AS MATERIALIZED (SELECT conversation_id, category, p.cap AS cap, p.v AS v, len(p.v) // 4 AS n, row_number() OVER (PARTITION BY conversation_id, category ORDER BY p.stage, session_id, pos) AS rn FROM p0),
+r AS (SELECT conversation_id, category, 0::BIGINT AS rn, 0::BIGINT AS tokens, ''::VARCHAR AS context, 0 AS held FROM q
+  UNION ALL SELECT r.conversation_id, r.category, p.rn, CASE WHEN tokens + n < cap THEN tokens + n ELSE tokens END, CASE WHEN tokens + n < cap THEN CASE WHEN held > 0 THEN context || chr(10) ELSE '' END || v ELSE context END, held + (tokens + n < cap)::INT
+    FROM r JOIN p ON p.conversation_id = r.conversation_id AND p.category = r.category AND p.rn = r.rn + 1)
+SELECT conversation_id, category, max_by(tokens, rn) AS tokens, sha256(max_by(context, rn)) AS context_sha256 FROM r GROUP BY conversation_id, category"""
+
+
+@query(V.sql(_PARTS, "messages", recursive=True))
 def k11_hierarchical(spark, d):
-    """Per session: three longest user turns as facts, and the turns with a question, within a budget."""
-    m = V.messages(spark, d).withColumn("n", X.estimated_tokens(F.col("content")))
-    w = Window.partitionBy("session_id").orderBy(F.desc("n"), "seq")
-    facts = m.filter("role = 'user'").withColumn("r", F.row_number().over(w)).filter("r <= 3")
-    return facts.groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "content"))), lambda x: x["content"]), "\n").alias("summary"), F.sum("n").alias("tokens"))
+    """Four questions, one of each kind, on every conversation of ten sessions."""
+    s = _summaries(spark, d)
+    q = s.select("conversation_id").distinct().withColumn("category", F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))))
+    q = q.withColumn("question_id", 10 * F.col("conversation_id") + F.col("category"))
+    c = R.contexts(s, q)
+    return c.join(q, "question_id").select("conversation_id", "category", "tokens", F.sha2("context", 256).alias("context_sha256"))
 
 
 EVENTS = [(1, "Alice met Bob Smith on March 4, 2023 and again last week"), (2, "Nothing here"), (3, "Carol Jones moved in 2021, next month Bob Smith came on Monday"), (4, "The Band sang in 1999 on friday")]
@@ -264,7 +348,7 @@ def k12_timeline(spark, d):
 def k13_multi_hop(spark, d):
     e = V.relationships(spark, d)
     h1 = e.filter("subject_id = 'c7'").select(F.col("object_id").alias("node")).distinct().withColumn("depth", F.lit(1))
-    h2 = e.filter("predicate = 'supplies'").join(F.broadcast(h1.select(F.col("node").alias("object_id"))), "object_id").select(F.col("subject_id").alias("node")).distinct().withColumn("depth", F.lit(2))
+    h2 = e.filter("predicate = 'supplies'").join(h1.select(F.col("node").alias("object_id")), "object_id").select(F.col("subject_id").alias("node")).distinct().withColumn("depth", F.lit(2))
     u = h1.unionByName(h2).groupBy("node").agg(F.min("depth").cast("long").alias("depth"))
     return u.filter("node <> 'c7'").orderBy("depth", "node").limit(20)
 

@@ -1,9 +1,12 @@
 """A*, B1 to B3, B10 to B16, C1, C8, C9, C13 to C16, D5 to D8, E*, F1 to F3, F7, G*: tables, logs, sets and windows."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from synapta import views as V
+from synapta.operators import extract as X
+from synapta.operators import history as G
 from synapta.operators import hybrid as H
 from synapta.operators import search as S
 from synapta.plans import query
@@ -11,6 +14,7 @@ from synapta.plans.memory import _JOBS, jobs
 from synapta.plans.scalars import values
 from synapta.plans.search import _T, TERMS, _docs, _keyword, _LISTS, _semantic
 from synapta.sources import stores as A
+from synapta.storage import work_folder
 
 
 def _m(spark, d):
@@ -255,3 +259,128 @@ def g4_token_sets(spark, d):
 def g7_prefix_dedup(spark, d):
     n = F.row_number().over(Window.partitionBy(F.substring(F.trim(F.lower("text")), 1, 100)).orderBy("doc_id"))
     return V.table(spark, d, "documents").select("doc_id", n.alias("n")).filter("n = 1").select("doc_id")
+
+
+def _store(spark):
+    return A.Store.init(spark, work_folder(spark, "store"))
+
+
+@query("SELECT 'documents' AS name, 1 AS version, count(*) AS n FROM documents")
+def a1_open_store(spark, d):
+    """A table written to a new store and read after the store was opened again."""
+    store = _store(spark)
+    store.write("documents", V.table(spark, d, "documents").select("doc_id"))
+    again = A.Store.open(spark, store.path)
+    return again.read("documents").agg(F.lit("documents").alias("name"), F.lit(again.versions("documents")[-1]).alias("version"), F.count(F.lit(1)).alias("n")).select("name", "version", "n")
+
+
+@query(V.sql("SELECT 'node' AS kind, entity_id AS id, name AS label, entity_type AS other FROM entities UNION ALL SELECT 'edge', subject_id, predicate, object_id FROM relationships", "entities", "relationships"))
+def a9_graph_round_trip(spark, d):
+    store = _store(spark)
+    A.save_graph(store, V.entities(spark, d), V.relationships(spark, d))
+    nodes, edges = A.load_graph(store)
+    n = nodes.select(F.lit("node").alias("kind"), F.col("entity_id").alias("id"), F.col("name").alias("label"), F.col("entity_type").alias("other"))
+    return n.unionByName(edges.select(F.lit("edge").alias("kind"), F.col("subject_id").alias("id"), F.col("predicate").alias("label"), F.col("object_id").alias("other")))
+
+
+@query("SELECT 'good' AS name, n_nationkey::BIGINT AS id FROM nation UNION ALL SELECT 'also', r_regionkey FROM region")
+def a11_transaction(spark, d):
+    """Two tables in one commit; a commit with a failing table leaves no trace in the other."""
+    store = _store(spark)
+    ids = lambda t, c: V.table(spark, d, t).select(F.col(c).cast("long").alias("id"))
+    store.transaction({"good": ids("nation", "n_nationkey"), "also": ids("region", "r_regionkey")})
+    try:
+        store.transaction({"good": ids("region", "r_regionkey"), "also": ids("nation", "n_nationkey").select("id", "id")})
+    except AnalysisException as e:
+        if "COLUMN_ALREADY_EXISTS" not in str(e):
+            raise
+    return store.read("good").select(F.lit("good").alias("name"), "id").unionByName(store.read("also").select(F.lit("also").alias("name"), "id"))
+
+
+@query("SELECT c_mktsegment AS user_id, count(*) AS sessions, sum(c_nationkey)::BIGINT AS messages FROM customer WHERE c_mktsegment <> 'MACHINERY' GROUP BY c_mktsegment")
+def a12_metadata(spark, d):
+    """Users, settings and sessions; sessions of an unknown user are refused."""
+    store, now, none = _store(spark), V.now(), F.lit(None).cast("string")
+    settings = spark.createDataFrame([(1, "{}", "{}", "{}", None)], "id int, llm string, embedding string, server string, kg_extraction string").withColumn("updated_at", now)
+    A.init_metadata(store, settings)
+    c = V.table(spark, d, "customer")
+    users = c.filter("c_mktsegment <> 'MACHINERY'").select(F.col("c_mktsegment").alias("id")).distinct()
+    store.write("users", users.select("id", F.col("id").alias("name"), none.alias("avatar"), now.alias("created_at"), F.lit("{}").alias("settings")))
+    sessions = c.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("user_id"), F.col("c_name").alias("name"), F.lit("chat").alias("session_type"), F.lit("m").alias("model"), F.lit("").alias("store_path"), now.alias("created_at"), now.alias("updated_at"), F.col("c_nationkey").cast("int").alias("message_count"), none.alias("tags"))
+    A.add_sessions(store, sessions)
+    return store.read("sessions").groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("message_count").alias("messages"))
+
+
+@query("SELECT 'c' || conv_id AS sample_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_no, role AS speaker, sha256(text) AS text_sha256 FROM conversations")
+def a14_dialogues(spark, d):
+    """Nested dialogues written as JSON and read as turns."""
+    c = V.table(spark, d, "conversations")
+    turns = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("speaker"), t["text"].alias("text"), t["turn"].cast("string").alias("dia_id")))
+    path = work_folder(spark, "dialogues")
+    c.groupBy("conv_id").agg(F.array(turns).alias("sessions")).select(F.concat(F.lit("c"), "conv_id").alias("sample_id"), "sessions").write.json(path)
+    t, _ = A.read_dialogues(spark, path, whole=False)
+    return t.select("sample_id", F.col("turn_no").cast("long").alias("turn_no"), "speaker", F.sha2("text", 256).alias("text_sha256"))
+
+
+_ONTOLOGY = [("领域情报类", "科技情报", "人工智能"), ("领域情报类", "科技情报", "半导体芯片"), ("领域情报类", "一级分类", "x"), ("领域情报类", "产业情报", "y"), ("要素情报类", "人物追踪", "z"), ("要素情报类", "---------", "z"), ("other", "a b", "c")]
+_ONT = f"SELECT t || '-' || f || '-' || s AS id, t, f, s FROM {values([(t, f.replace(' ', '-'), s) for t, f, s in _ONTOLOGY if f not in A.TEMPLATE_ROWS], 't, f, s')}"
+
+
+def _ontology(spark):
+    path = work_folder(spark, "ontology")
+    spark.createDataFrame(_ONTOLOGY, "top_category string, first_category string, second_category string").coalesce(1).write.json(path)
+    return A.read_ontology(spark, path, whole=False)
+
+
+@query(f"SELECT id FROM ({_ONT})")
+def a15_ontology(spark, d):
+    return _ontology(spark).select("id")
+
+
+@query(f"SELECT id FROM ({_ONT}) WHERE t = '领域情报类' AND f = '科技情报'")
+def b15_category(spark, d):
+    return A.find_category(_ontology(spark), "领域情报类", "科技情报").select("id")
+
+
+@query(f"SELECT id, CASE WHEN s = '人工智能' THEN 'ai' WHEN s = '半导体芯片' THEN 'semiconductor' WHEN f = '产业情报' THEN 'industry' WHEN f = '人物追踪' THEN 'person' ELSE 'generic' END AS domain FROM ({_ONT})")
+def r8_domain(spark, d):
+    return A.domain(_ontology(spark)).select("id", "domain")
+
+
+@query("SELECT doc_id, lang, sha256(regexp_replace(text, '^[\\s\\x0B]+', '')) AS body_sha256 FROM documents WHERE text IS NOT NULL")
+def a16_markdown(spark, d):
+    """Documents as Markdown with a head of JSON, and back."""
+    t = V.table(spark, d, "documents").filter("text IS NOT NULL")
+    back = t.select("doc_id", A.from_markdown(A.to_markdown(F.struct("lang", "source"), F.col("text")), "lang string, source string").alias("m"))
+    return back.select("doc_id", "m.frontmatter.lang", F.sha2("m.content", 256).alias("body_sha256"))
+
+
+@query("SELECT item_id, text FROM benchmark")
+def a17_results_sink(spark, d):
+    path = work_folder(spark, "results")
+    A.write_results(V.table(spark, d, "benchmark").select("item_id", "text"), path)
+    return spark.read.schema("item_id long, text string").json(path)
+
+
+@query(V.sql("SELECT memory_id, tier FROM memories WHERE memory_id % 2 = 0", "memories"))
+def m4_restored_checkpoint(spark, d):
+    """The first version, after a second one was written and the first restored."""
+    store, m = _store(spark), V.memories(spark, d).select("memory_id", "tier")
+    first = store.write("memories", m.filter("memory_id % 2 = 0"), ("tier",))
+    store.append("memories", m.filter("memory_id % 2 = 1"))
+    store.restore("memories", first)
+    return store.read("memories").select("memory_id", "tier")
+
+
+@query("SELECT item_id, sha256('You extract.' || chr(10) || chr(10) || '## Entities' || chr(10) || chr(10) || 'person' || chr(10) || chr(10) || 'Stage 1' || chr(10) || chr(10) || '## Text' || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10) || 'Answer with the JSON only.') AS prompt_sha256 FROM benchmark")
+def r9_prompts(spark, d):
+    return V.table(spark, d, "benchmark").select("item_id", F.sha2(X.prompt(F.col("text"), "You extract.", {"Entities": "person"}, "Stage 1"), 256).alias("prompt_sha256"))
+
+
+@query(V.sql("SELECT 'HEAD' AS name, max_by(oid, seq) AS oid FROM commits WHERE branch = 7 UNION ALL SELECT 'branch-9', max_by(oid, seq) FROM commits WHERE branch = 9 AND branch % 5 <> 0", "commits"))
+def s5_refs(spark, d):
+    """A symbolic head and a branch; refs of every fifth branch were deleted."""
+    c = V.commits(spark, d)
+    log = c.select(F.concat(F.lit("branch-"), "branch").alias("name"), "oid", "seq").unionByName(c.filter("branch % 5 = 0").select(F.concat(F.lit("branch-"), "branch").alias("name"), F.lit(None).cast("long").alias("oid"), F.lit(1 << 30).alias("seq")))
+    refs = G.current_refs(log).withColumn("target", F.lit(None).cast("string")).unionByName(spark.createDataFrame([("HEAD", None, "branch-7")], "name string, oid long, target string"))
+    return spark.createDataFrame([(n, G.resolve_ref(refs, n)) for n in ("HEAD", "branch-9")], "name string, oid long")

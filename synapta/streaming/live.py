@@ -2,21 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def work_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one in local mode where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.gettempdir()
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from synapta.storage import work_folder
 
 
 def any_of(path: str) -> str:

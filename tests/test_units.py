@@ -89,6 +89,16 @@ def test_store_versions_and_rollback(spark, tmp_path):
     with pytest.raises(Exception):  # noqa: B017
         again.transaction({"memories": df, "broken": df.select(F.raise_error(F.lit("no")).alias("x"))})
     assert again.versions("memories") == [1, 2] and again.versions("broken") == []
+    folders = lambda: sorted(p.name for p in (tmp_path / "store/memories").iterdir())
+    before = folders()
+    assert len(before) == 2  # an append rewrote nothing, and the failure left no folder
+    again._commit(99, again._manifest())  # another writer was first
+    with pytest.raises(OSError):
+        again._commit(99, again._manifest())
+    assert again.restore("memories", 1) == 3 and again.read("memories").count() == 1 and folders() == before
+    assert again.append("memories", df) == 4 and again.read("memories").count() == 2 and again.read("memories", 2).count() == 2
+    with pytest.raises(FileNotFoundError):
+        again.read("memories", 9)
     with pytest.raises(FileNotFoundError):
         stores.Store.open(spark, f"file://{tmp_path}/none")
 
@@ -148,3 +158,53 @@ def test_stream_equals_batch(spark, tmp_path):
     closed = as_set(live.run_to_table(live.sessions(stream), "append"))
     assert closed <= as_set(live.sessions(batch)) and closed
     assert as_set(live.run_to_table(live.running_budget(stream), "complete")) == as_set(live.running_budget(batch))
+
+
+def test_many_needles_meet_by_their_first_characters(spark):
+    from synapta.operators.joins import holding
+
+    texts = spark.createDataFrame([(i, f"see name{i:04d} and name{(i * 7) % 1500:04d}") for i in range(1500)] + [(9001, None), (9002, ""), (9003, "na")], "id long, content string")
+    needles = [f"name{i:04d}" for i in range(1200)] + ["", None]
+    for few in (needles[:5] + needles[-2:], needles):
+        got = {(r.id, r.name) for r in holding(texts, "content", spark.createDataFrame([(n,) for n in few], "name string"), "name").collect()}
+        known = {n for n in few if n}
+        assert got == {(i, n) for i in range(1500) for n in (f"name{i:04d}", f"name{(i * 7) % 1500:04d}") if n in known}
+
+
+def test_neighbours_by_words_and_by_embeddings(spark):
+    schema = "memory_id long, session_id string, content string, embedding array<double>"
+    old = spark.createDataFrame([(1, "a", "one two three four", None), (2, "a", "x y", [1.0, 0.0]), (3, "b", "one two three four", [1.0, 0.0]), (4, "a", "nothing like it", [0.0, 1.0])], schema)
+    new = spark.createDataFrame([(10, "a", "one two three four", None), (11, "a", "z", [1.0, 0.1]), (1, "a", "one two three four", None)], schema)
+    got = {(r.new, r.old): round(r.similarity, 3) for r in memory.neighbours(new, old).collect()}
+    assert got == {(10, 1): 1.0, (11, 2): 0.995}
+
+
+def test_context_rules(spark):
+    assert value(spark, memory.replaces(*lit("entity", 0.9, "entity", 0.5))) is True and value(spark, memory.replaces(*lit("entity", 0.9, "skill", 0.5))) is False
+    with pytest.raises(ValueError):
+        memory.consolidate(spark.createDataFrame([], "memory_id long, session_id string, memory_type string, content string, importance double, tags array<string>"), "none")
+
+
+def test_hierarchy_by_hand(spark):
+    from synapta.operators import hierarchy
+
+    turns = [(1, 1, 0, "Ann met Bob Smith in 2021"), (1, 1, 1, "what time is it"), (1, 1, 2, "no fact"), (1, 1, 3, "bye on Monday"), (1, 2, 0, "alone")]
+    s = hierarchy.summaries(spark.createDataFrame(turns, "conversation_id long, session_id long, seq long, content string"))
+    got = {r.session_id: r for r in s.collect()}
+    assert got[1].summary == "Session 1: Ann met Bob Smith in 2021; bye on Monday" and got[1].facts == ["Ann met Bob Smith in 2021", "bye on Monday"]
+    assert got[1]["keys"] == ["Ann met Bob Smith in 2021", "bye on Monday", "what time is it"] and got[1].names == ["Ann", "Bob Smith", "Monday"]
+    assert (got[2].summary, got[2].facts, got[2]["keys"]) == ("Session 2: ", [], ["alone", "alone"])
+    q = spark.createDataFrame([(c, 1, c) for c in (1, 2, 3, 4)], "question_id long, conversation_id long, category int")
+    c = {r.question_id: (r.tokens, r.context) for r in hierarchy.contexts(s, q, 90).collect()}
+    both = f"{got[1].summary}\nSession 2: "
+    assert c == {1: (11, "Ann met Bob Smith in 2021\nbye on Monday\nalone\nalone"), 2: (14, both), 3: (17, both + "\nbye on Monday"), 4: (14, both)}
+
+
+def test_stacked_merges(spark):
+    """Two branches part and meet again, two hundred times."""
+    links = [(0, None)]
+    for i in range(200):
+        top = 3 * i
+        links += [(top + 1, top), (top + 2, top), (top + 3, top + 1), (top + 3, top + 2)]
+    got = history.ancestors(spark.createDataFrame(links, "oid long, parent long"), spark.createDataFrame([(600,)], "head long")).collect()
+    assert len(got) == 601 and max(r.depth for r in got) == 400
