@@ -102,7 +102,8 @@ class BlockMaxIndex:
             if without >= 0:
                 scores[without] = 0
             kth = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-        found = np.flatnonzero(scores >= max(kth, 1e-12))
+        scores = np.round(scores, 12)  # equal vectors tie, whatever the order of their sums
+        found = np.flatnonzero(scores >= max(round(float(kth), 12), 1e-12))
         found = found[np.lexsort((found, -scores[found]))][:k]
         return found, scores[found]
 

@@ -50,6 +50,14 @@ def test_encoder_equals_whole_texts(tok):
     assert [Encoder(default_path()).encode([t])[0] for t in texts] == [ids_of(tok, t)[:-1].tobytes() for t in texts]
 
 
+def test_long_unbroken_strings_are_not_kept(tok):
+    encoder = Encoder(default_path())
+    texts = [f"{c}{'xyz' * 30_000}" for c in "abcdefgh"] + ["漢字" * 20_000, "a b " * 5]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(map(len, encoder.memo)) < 100
+    assert len(ngram_join.shingles(" ".join(texts), 3)) and max(map(len, ngram_join._words), default=0) <= 64
+
+
 def test_op1_packs_every_id_once(spark, awkward, tok):
     got = queries.digest_pieces(packing.pack(docs(spark, awkward), size=256, open_windows=4)).collect()
     assert len({(r.sequence_id, r.offset) for r in got}) == len(got)
@@ -114,6 +122,10 @@ def test_op3_round_trip(spark, awkward, tok):
         file.seek(0)
         with pytest.raises(ValueError):
             token_store.Shard(file, dictionary + b"x")
+    for i in (4, 400, 401):
+        found = token_store.fetch(manifest, folder, dictionary, i)
+        assert len(found) == 1 and np.array_equal(found[0], ids_of(tok, dict((j, t) for j, t, _ in rows)[i]))
+    assert token_store.fetch(manifest, folder, dictionary, 99_999) == []
     assert token_store.read(*token_store.write(docs(spark, awkward))).count() == len(awkward)
     assert token_store.read(*token_store.write(docs(spark, []))).count() == 0
 
@@ -262,6 +274,19 @@ def test_op6_reads_back_what_it_formats(spark):
     assert shared and chat.format_chats(table.limit(0)).count() == 0
 
 
+def test_op6_of_a_very_long_conversation(spark):
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"word {t}") for t in range(20_000)]
+    rows += [(2, t, r, x) for _, t, r, x in rows[:15_000]] + [(2, 15_000, "user", "another end")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    trees = chat.format_chats(table, tree_tokens=None, tree_leaves=None)
+    assert sum(len(t.nodes) for t in trees.select("nodes").collect()) <= 35_001
+    assert max(r.n for t in ("ancestors",) for r in trees.selectExpr(f"array_max(transform({t}, x -> size(x))) AS n").collect()) <= 2
+    got = {r.conv_id: r for r in chat.read_back(trees).collect()}
+    for c in (1, 2):
+        turns = sorted((t, r, x) for i, t, r, x in rows if i == c)
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(turns), hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest())
+
+
 def test_op7_targets_and_cut(spark, awkward):
     rows = [*awkward, *[(1000 + i, "w " * 5, "tiny") for i in range(3)]]
     got = mixing.schedule(docs(spark, rows)).collect()
@@ -295,6 +320,26 @@ def test_op7_targets_and_cut(spark, awkward):
     assert mixing.schedule(docs(spark, [])).count() == 0 and mixing.mix(docs(spark, [])).count() == 0
 
 
+def test_mix_keeps_every_column_and_spreads_repeated_rows(spark):
+    rows = [(i, f"w{i} " * (i % 9 + 1), f"s{i % 3}", i, -i, "h", 7) for i in range(60)]
+    rows += [(5, "same again", "s0", 1, 2, "x", 3)] * 3000 + [(None, "no id", "s1", 4, 5, None, 6), (None, "no di", "s1", 4, 5, "y", 6), (None, None, None, 0, 0, "z", 0)] * 20
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, _size int, _pcopies int, held string, row int").repartition(5)
+    got = [tuple(r) for r in mixing.mix(table).collect()]
+    assert set(got) <= set(rows)
+    taken, whole = defaultdict(int), defaultdict(int)
+    for r in mixing.schedule(table).collect():
+        taken[r.doc_id, r.source, r["size"]] += r.copies
+    for r in got:
+        whole[r[0], r[2], len((r[1] or "").split())] += 1
+    assert {k: n for k, n in taken.items() if n} == dict(whole)
+    held, mixed = defaultdict(int), defaultdict(int)
+    for r in rows:
+        held[r] += 1
+    for r in got:
+        mixed[r] += 1
+    assert all(mixed[r] <= 3 * held[r] for r in mixed)
+
+
 def brute_components(rows, n, num, den):
     sets = {}
     for i, t, _ in rows:
@@ -385,6 +430,31 @@ def test_keep_one_of_each_group(spark, awkward):
     assert got == sorted([i for i, (_, c) in want.items() if i is not None and c == i] + [-1])
 
 
+def test_keep_one_with_clashing_columns_and_repeated_ids(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, base, 1, "a", 0, "h"), (2, base + " more", 2, "b", 0, "h"), (3, "another text of its own entirely", 3, "c", 0, "h"), (3, "another text of its own entirely", 4, "c", 0, "i"), (4, None, 5, "d", 0, "h"), (None, base, 6, "e", 0, "h"), (4, None, 6, "d", 0, "h")]
+    rows += [(7, "seven eight nine ten eleven twelve", i, "f", 0, "h") for i in range(500)] + [(7, "quite a different text with the same id", 0, "f", 0, "h")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _kept int, source string, id int, held string")
+    runs = [sorted(tuple(map(str, r)) for r in ngram_join.keep_one(t, 5, 80, 100).collect()) for t in (table, table.repartition(6))]
+    assert runs[0] == runs[1] and ngram_join.keep_one(table, 5, 80, 100).columns == table.columns
+    assert sorted((r[0], r[1]) for r in runs[0]) == sorted((str(i), str(t)) for i, t in [(1, base), (3, rows[2][1]), (4, None), (None, base), (7, rows[8][1]), (7, rows[-1][1])])
+
+
+def test_op8_with_a_passage_in_every_third_document(spark):
+    rng = random.Random(11)
+    words = [f"v{i}" for i in range(2000)]
+    passage = "this same passage of eight words is everywhere"
+    rows = []
+    for i in range(300):
+        body = [rng.choice(words) for _ in range(rng.choice([2, 5, 9, 30, 31, 33, 80, 300]))]
+        rows.append((i, " ".join([*body, passage]) if i % 3 == 0 else " ".join(body), "s"))
+    rows += [(1000 + i, rows[3 * (i % 40)][1] + (" z" if i % 2 else ""), "s") for i in range(80)]
+    for n, num in ((3, 90), (5, 80)):
+        want = brute_components(rows, n, num, 100)
+        for r in ngram_join.link_components(docs(spark, rows), n, num, 100).collect():
+            assert (r.n_shingles, r.component_id) == want[r.doc_id], r
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(1, i) for i in range(2, 60)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "t").collect()}
@@ -419,6 +489,108 @@ def test_op9_search_is_exact_and_learns(spark):
     assert {r.score for r in toxicity.score(table, one).collect()} == {0.0}
 
 
+def test_op9_equals_brute_force_from_texts(spark):
+    """TF-IDF, neighbours, votes and curve recomputed in plain code from the texts."""
+    rng = random.Random(13)
+    words, rows, labels = [f"common{i}" for i in range(60)], [], {}
+    for i in range(160):
+        labels[i] = int(i % 5 == 0)
+        text = [rng.choice(words) for _ in range(rng.randrange(4, 30))]
+        if rng.random() < (0.9 if labels[i] else 0.1):
+            text += rng.choices(["vilely", "viler", "rotten", "Rottenest"], k=rng.randrange(1, 4))
+        rows.append((i, " ".join(text), "s"))
+    rows += [(500, "viler than rotten", "s"), (501, None, "s"), (502, "common1 common2", "s")]
+    table = docs(spark, rows)
+    model = toxicity.fit(table, spark.createDataFrame([(i, y, 1) for i, y in labels.items()], "doc_id long, toxic int, quality int"))
+    got = {r.doc_id: (r.score, [tuple(e) for e in r.evidence]) for r in toxicity.score(table, model).collect()}
+
+    def counts(text):
+        out = defaultdict(int)
+        for w in re.findall(r"\w+", (text or "").lower()):
+            for t in [w] + [w[:n] + "~" for n in (4, 5, 6, 7) if len(w) > n]:
+                out[t] += 1
+        return out
+
+    order = sorted(labels, key=lambda i: (labels[i], i))
+    bags = {i: counts(t) for i, t, _ in rows}
+    df = defaultdict(lambda: [0, 0])
+    for i in order:
+        for t in bags[i]:
+            df[t][labels[i]] += 1
+    n = [sum(1 for i in order if labels[i] == y) for y in (0, 1)]
+    ll = lambda k, m, p: (k * np.log(p) if k else 0) + ((m - k) * np.log(1 - p) if m > k else 0)
+    kept = [t for t, (a, b) in df.items() if a + b >= 3 and 2 * (ll(a, n[0], a / n[0]) + ll(b, n[1], b / n[1]) - ll(a, n[0], (a + b) / sum(n)) - ll(b, n[1], (a + b) / sum(n))) > 10.83]
+    assert kept and set(kept) == set(model.vocabulary)
+
+    def vector(bag):
+        v = np.array([(1 + np.log(bag[t])) * (np.log((1 + sum(n)) / (1 + sum(df[t]))) + 1) if bag.get(t) else 0.0 for t in kept])
+        return v / (np.linalg.norm(v) or 1)
+
+    examples, y, base = np.array([vector(bags[i]) for i in order]), np.array([labels[i] for i in order]), n[1] / sum(n)
+
+    def vote(v, without=None):
+        c = np.round(examples @ v, 12)
+        near = sorted((-c[j], j) for j in range(len(order)) if j != without and c[j] > 1e-12)[:16]
+        w = np.array([c[j] ** 2 for _, j in near])
+        return [(sum(w[k] for k, (_, j) in enumerate(near) if y[j]) + 0.02 * base) / (w.sum() + 0.02), np.tanh(w.sum())], near
+
+    x = np.array([[1, *vote(examples[j], j)[0]] for j in range(len(order))])
+    curve, ridge = np.zeros(3), np.array([1e-6, 1, 1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-x @ curve))
+        curve += np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(ridge), x.T @ (y - p) - ridge * curve)
+    for i, _, _ in rows:
+        v, near = vote(vector(bags[i]))
+        assert got[i][0] == pytest.approx(1 / (1 + np.exp(-curve @ [1, *v])), abs=1e-6)
+        assert [round(c, 9) for _, c, _ in got[i][1]] == [round(-c, 9) for c, _ in near] and len(got[i][1]) == len(near)
+    assert max(len(e) for _, e in got.values()) == 16
+
+
+def test_op10_equals_brute_force_over_labellings(spark):
+    """A document's score from its text, by the sum over all labellings of its lines."""
+    r = random.Random(5)
+    good = lambda: " ".join(r.choice(["the", "river", "runs", "slowly", "to", "sea"]) for _ in range(r.randrange(3, 12))).capitalize() + "."
+    rows = [(i, "\n".join(good() if i % 2 or r.random() < 0.4 else "BUY | NOW 12 | " * r.randrange(1, 4) for _ in range(r.randrange(1, 7))), "s") for i in range(120)]
+    rows += [(500, "One line.", "s"), (501, None, "s"), (502, "Same line here.\n\nSame line here.\nA 99 b!", "s")]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    m = crf_quality.fit(docs(spark, rows), labels)
+    got = {x.doc_id: x.score for x in crf_quality.score(docs(spark, rows), m).collect()}
+
+    def features(lines, i):
+        line, words = lines[i], lines[i].split()
+        k = len(words) or 1
+        return [np.log1p(len(line)), np.log1p(len(words)), sum(a != b for a, b in zip(line, line.lower())) / (len(line) or 1), sum(c in crf_quality.MARKS for c in line) / k, len(set(words)) / k,
+                sum(a == b for a, b in zip(words, words[1:])) / k, sum(map(len, words)) / k, sum(len(w) <= 3 for w in words) / k, sum(c.isdigit() for c in line) / (len(line) or 1),
+                float(line in lines[:i]), float(line[-1:] in ".?!:;"), max(map(len, words), default=0)]
+
+    width, f = crf_quality.BINS + 1, len(crf_quality.FEATURES)
+    for i, text, _ in [*rows[:30], *rows[-3:]]:
+        lines = (text or "").split("\n")
+        own = [[sum(v >= c for c in cuts) for v, cuts in zip(features(lines, j), m.cuts, strict=True)] for j in range(len(lines))]
+        edge = [crf_quality.BINS] * f
+        e = []
+        for j in range(len(lines)):
+            around = (own[j], own[j - 1] if j else edge, own[j + 1] if j + 1 < len(lines) else edge)
+            e.append(sum(m.weights[b + place * width + part * f * width] for part, bins in enumerate(around) for place, b in enumerate(bins)))
+        total, one = 0.0, np.zeros(len(lines))
+        for s in range(1 << len(lines)):
+            y = [s >> j & 1 for j in range(len(lines))]
+            w = np.exp(sum(a * b for a, b in zip(e, y, strict=True)) + sum(m.trans[a, b] for a, b in zip(y, y[1:])))
+            total += w
+            one += w * np.array(y)
+        p, sizes = one / total, np.array([max(1, len(x)) for x in lines])
+        odds = np.clip(np.log(p) - np.log1p(-p), -20, 20)
+        z = m.curve @ [1, p @ sizes / sizes.sum(), odds @ sizes / sizes.sum() / 4]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
+def test_op10_learns_from_documents_of_any_length(spark):
+    rows = [(i, ("Good prose goes on and on here.\n" if i % 2 else "BUY | NOW |\n") * 900, "s") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    m = crf_quality.fit(docs(spark, rows), labels)
+    assert m.fitted and all((x.score >= 0.7) == (x.doc_id % 2 == 1) for x in crf_quality.score(docs(spark, rows), m).collect())
+
+
 def test_op9_and_op10_scores_follow_the_shares_of_all_labels(spark, monkeypatch):
     rng = random.Random(7)
     words = [f"word{i}" for i in range(50)]
