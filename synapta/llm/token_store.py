@@ -15,7 +15,7 @@ File format (all integers little-endian), one shard file:
 Shards hold documents in ascending ``doc_id`` (null first); their names sort in that order.
 
 Edge cases: null text is empty (the end id alone); equal ``doc_id`` keep all rows, in order of
-their frames' bytes; an empty table has no shards; other columns are ignored.
+a hash of their frames; an empty table has no shards; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,13 +55,12 @@ def serialize(ids: bytes, width: int) -> bytes:
 
 def train(docs: DataFrame, path: str, width: int) -> bytes:
     """A dictionary from a bounded sample in the order of a hash of ``doc_id``; empty if there is too little to learn from."""
-    rows = (
-        docs.select("doc_id", "text")
-        .filter(F.octet_length("text").between(1, SAMPLE_BYTES))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-        .limit(SAMPLE_DOCS)
-        .collect()
-    )
+    first = [F.xxhash64("doc_id"), "doc_id"]
+    # The ids come first, so no task sends its candidates' texts; half of them may be too long or empty.
+    few = docs.select(F.col("doc_id").cast("long")).filter("doc_id IS NOT NULL").distinct().orderBy(*first).limit(2 * SAMPLE_DOCS).collect()
+    few = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in few], "doc_id long")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(few), "doc_id", "left_semi")
+    rows = texts.filter(F.octet_length("text").between(1, SAMPLE_BYTES)).orderBy(*first, "text").limit(SAMPLE_DOCS).collect()
     samples = [serialize(x, width) for x in encoder(path).encode([r["text"] for r in rows])]
     try:
         return zstandard.train_dictionary(DICT_BYTES, [x for x in samples if x]).as_bytes()
@@ -109,8 +108,8 @@ class Shard:
 def write(docs: DataFrame, path: str | None = None, end_id: int = 0) -> tuple[DataFrame, str, bytes]:
     """Write ``docs`` (doc_id, text) as shards; returns the manifest, their folder and the dictionary.
 
-    Manifest: shard (name), first and count of documents, ids; ``before_n_tokens`` has the ids
-    of all earlier shards.
+    Manifest: shard (name), docs (their count), n_tokens, first and last doc_id; ``before_n_tokens``
+    has the ids of all earlier shards.
     """
     spark = docs.sparkSession
     path = path or default_path()
@@ -136,7 +135,9 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 0) -> tuple[Da
                 )
 
     frames = save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "doc_id long, n_tokens long, frame binary"), "frames")
-    ranged = frames.repartitionByRange(partitions(spark), "doc_id", "frame").sortWithinPartitions("doc_id", "frame")
+    # The range bounds are sampled from the keys: a hash stands for the frame, so the driver gets numbers alone.
+    hashed = frames.withColumn("look", F.xxhash64("frame"))
+    ranged = hashed.repartitionByRange(partitions(spark), "doc_id", "look").sortWithinPartitions("doc_id", "look", "frame").drop("look")
 
     def shards(batches):
         from pyspark import TaskContext
@@ -147,7 +148,7 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 0) -> tuple[Da
             nonlocal rows, size, number
             name = f"{part:08d}-{number:08d}.syt"
             write_file(f"{folder}/{name}", pack_shard(rows, digest, width))
-            out.append((name, len(rows), sum(r[1] for r in rows)))
+            out.append((name, len(rows), sum(r[1] for r in rows), rows[0][0], rows[-1][0]))
             rows, size, number = [], 0, number + 1
 
         for batch in batches:
@@ -158,12 +159,23 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 0) -> tuple[Da
                     close()
         if rows:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64())], names=["shard", "docs", "n_tokens"])
+        kinds = (("shard", pa.string()), ("docs", pa.int64()), ("n_tokens", pa.int64()), ("first", pa.int64()), ("last", pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
-    manifest = save(ranged.mapInArrow(shards, "shard string, docs long, n_tokens long"), "manifest")
+    manifest = save(ranged.mapInArrow(shards, "shard string, docs long, n_tokens long, first long, last long"), "manifest")
     return running_total(manifest, [F.col("shard")], ["n_tokens"], "shard-starts"), folder, dictionary
 
 
+def fetch(manifest: DataFrame, folder: str, dictionary: bytes, doc_id: int) -> list[np.ndarray]:
+    """The ids of one document (of each of its rows): reads the indexes of the shards that may hold it, and its own frames."""
+    found = []
+    for r in manifest.filter((F.col("last") >= doc_id) & (F.coalesce("first", F.lit(doc_id)) <= doc_id)).orderBy("shard").toLocalIterator():
+        with open_input(f"{folder}/{r['shard']}") as file:
+            shard = Shard(file, dictionary)
+            found += [shard.ids(i) for i in range(len(shard)) if shard.doc_id(i) == doc_id]
+    return found
+
+
 def read(manifest: DataFrame, folder: str, dictionary: bytes) -> DataFrame:
     """Documents read back from the shards: doc_id, start, n_tokens, ids_crc32 (of 32-bit little-endian ids)."""
 
