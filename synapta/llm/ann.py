@@ -33,7 +33,7 @@ from synapta.llm import vectors as V
 
 #: Bits of a substring, substrings of a code at most, rounds of quantization, and the share of the sample's neighbours to retrieve.
 PIECE, MOST_PIECES = 16, 96
-ROUNDS, COVER = 8, 0.95
+ROUNDS, COVER = 8, 0.975
 #: Sampled vectors whose neighbours the fit looks at; vectors that are encoded at a time.
 FITTED, ENCODED = 512, 4_096
 
