@@ -123,8 +123,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     ``probed``, of each row, is how many codes its query retrieved in the shard where the row was found, and ``held`` how many that shard holds.
     """
     usable = V.valid(vectors, zero=False)
-    d = V.usual_length(usable)
-    _, sample = V.fitted_sample(usable, d)
+    d, n = V.usual_length(usable)
+    _, sample = V.fitted_sample(usable, d, n)
     rotations = learn_rotations(sample) if len(sample) else np.zeros((d, PIECE * MOST_PIECES))
     pieces, t = fit_probing(sample, rotations, k)
     rotations = rotations[:, : pieces * PIECE].copy()

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from synapta.llm.shared import first_ids, free, save
+
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, counts: np.ndarray | None = None) -> np.ndarray:
     """Weights of a logistic regression with intercept (which the ridge spares), by Newton's method; ``counts``: how many rows each stands for."""
@@ -24,13 +26,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, counts: np.ndarra
 
 def sample(docs: DataFrame, labels: DataFrame, column: str, most: dict[int, int]) -> tuple[DataFrame, dict[int, float]]:
     """Up to ``most[y]`` documents of each label y, as (doc_id, text, label), and how many labels each stands for."""
-    known = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
-    parts = [known.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in most.items()]
+    known = save(labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).cast("int").alias("label")), "labels")
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     stands = {y: max(1.0, totals.get(y, 0) / n) for y, n in most.items()}
-    picked = parts[0]
-    for p in parts[1:]:
-        picked = picked.unionByName(p)
-    rows = [(r["doc_id"], r["label"]) for r in picked.collect()]
+    rows = [(i, y) for y, n in most.items() for i in first_ids(known.filter(F.col("label") == y).select(F.col("doc_id").cast("long").alias("id")), n)]
+    free(known)
     few = docs.sparkSession.createDataFrame(rows, "doc_id long, label int")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(few), "doc_id"), stands

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from synapta.llm.components import components
-from synapta.llm.shared import bounded, free, running_total, save
+from synapta.llm.shared import bounded, first_ids, free, running_total, save
 from synapta.llm.tokens import text_groups
 
 _M1, _M2, _M3, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD))
@@ -204,8 +204,7 @@ def common_ngrams(docs: DataFrame, n: int) -> np.ndarray:
             for text in batch.column("text").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text, n).view("<i8"), pa.int64())], names=["h"])
 
-    sample = docs.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    few = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in sample.collect()], "doc_id long")
+    few = docs.sparkSession.createDataFrame([(i,) for i in first_ids(docs.select(F.col("doc_id").alias("id")), SAMPLE_DOCS)], "doc_id long")
     counts = docs.join(F.broadcast(few), "doc_id").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c"))
     kept = counts.filter(F.col("c") >= COMMON_DOCS).orderBy(F.desc("c"), "h").limit(COMMON_MOST).select("h").toArrow()
     return np.sort(kept["h"].to_numpy().view(np.uint64))

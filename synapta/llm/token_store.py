@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synapta.llm.shared import new_folder, open_input, partitions, running_total, save, write_file
+from synapta.llm.shared import first_ids, new_folder, open_input, partitions, running_total, save, write_file
 from synapta.llm.tokens import default_path, encoder, text_groups
 
 MAGIC = b"SYT1"
@@ -57,8 +57,8 @@ def train(docs: DataFrame, path: str, width: int) -> bytes:
     """A dictionary from a bounded sample in the order of a hash of ``doc_id``; empty if there is too little to learn from."""
     first = [F.xxhash64("doc_id"), "doc_id"]
     # The ids come first, so no task sends its candidates' texts; half of them may be too long or empty.
-    few = docs.select(F.col("doc_id").cast("long")).filter("doc_id IS NOT NULL").distinct().orderBy(*first).limit(2 * SAMPLE_DOCS).collect()
-    few = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in few], "doc_id long")
+    few = first_ids(docs.select(F.col("doc_id").cast("long").alias("id")), 2 * SAMPLE_DOCS)
+    few = docs.sparkSession.createDataFrame([(i,) for i in few], "doc_id long")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(few), "doc_id", "left_semi")
     rows = texts.filter(F.octet_length("text").between(1, SAMPLE_BYTES)).orderBy(*first, "text").limit(SAMPLE_DOCS).collect()
     samples = [serialize(x, width) for x in encoder(path).encode([r["text"] for r in rows])]

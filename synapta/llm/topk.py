@@ -89,8 +89,8 @@ class KDTree:
 def top_products(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """(query_id, rank, vec_id, score): for every vec_id divisible by ``every`` the k rows of the largest product."""
     usable = V.valid(vectors, zero=True)
-    d = V.usual_length(usable)
-    sample_ids, sample = V.fitted_sample(usable, d)
+    d, n = V.usual_length(usable)
+    sample_ids, sample = V.fitted_sample(usable, d, n)
     sample = np.floor(sample * SCALE)
 
     def reached(ids: np.ndarray, q: np.ndarray) -> np.ndarray:

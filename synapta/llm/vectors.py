@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from synapta.llm.shared import new_folder, open_input, partitions, write_file
+from synapta.llm.shared import new_folder, open_input, partitions, smallest_hashes, write_file
 
 #: Vectors in a fitted sample, in a shard, and queries in a block: at most.
 SAMPLE, SHARD, QUERIES = 4_096, 65_536, 4_096
@@ -30,15 +30,20 @@ def valid(vectors: DataFrame, zero: bool) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long"), v.alias("v")).filter(ok)
 
 
-def usual_length(vectors: DataFrame) -> int:
-    """The most frequent length of all vectors (ties: the smaller); 1 for an empty table."""
+def usual_length(vectors: DataFrame) -> tuple[int, int]:
+    """The most frequent length of all vectors (ties: the smaller), and how many have it; (1, 0) for an empty table."""
     row = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return row["d"] if row else 1
+    return (row["d"], row["count"]) if row else (1, 0)
 
 
-def fitted_sample(vectors: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
-    """Up to ``SAMPLE`` vectors of length d in the order of a hash of vec_id, as (ids, vectors)."""
-    rows = vectors.filter(F.size("v") == d).orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).collect()
+def fitted_sample(vectors: DataFrame, d: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to ``SAMPLE`` of the ``n`` vectors of length d in the order of a hash of vec_id, as (ids, vectors)."""
+    first = lambda x: x.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).collect()
+    usable, rows = vectors.filter(F.size("v") == d), []
+    if n > 4 * SAMPLE:  # tasks need not send what cannot be among the first
+        rows = first(usable.filter(smallest_hashes("vec_id", 2 * SAMPLE / n)))
+    if len(rows) < SAMPLE:
+        rows = first(usable)
     return np.array([r["vec_id"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.float64).reshape(-1, d)
 
 

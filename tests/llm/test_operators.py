@@ -45,6 +45,15 @@ def tok():
     return Encoder(default_path()).tokenizer
 
 
+def test_first_ids_are_those_of_the_smallest_hashes(spark):
+    from synapta.llm.shared import first_ids
+
+    ids = spark.range(5000).selectExpr("if(id % 3 = 0, 7, id) AS id").union(spark.createDataFrame([(None,)], "id long"))
+    want = [r.id for r in ids.filter("id IS NOT NULL").distinct().selectExpr("id", "xxhash64(id) AS h").orderBy("h").collect()]
+    for most in (1, 50, 2000, 9000):
+        assert first_ids(ids, most) == want[:most]
+
+
 def test_encoder_equals_whole_texts(tok):
     texts = ["a  b", " a", "  a\n b\n  c", "x<|endoftext|> y.", "a <|endoftext|>b!!", "\n \n", "a\t b ", "don't, 's dogs' x,y .d", "　 a", "a\x1c b", "a\0b", "é!! ñ\n\nz.\n", "", None]
     assert [Encoder(default_path()).encode([t])[0] for t in texts] == [ids_of(tok, t)[:-1].tobytes() for t in texts]
