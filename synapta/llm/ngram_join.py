@@ -165,25 +165,23 @@ def _arrays(raw: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), "<u8") for x in raw]
 
 
-def _sets(docs: DataFrame, ids: DataFrame, n: int, label: str, exact: bool) -> DataFrame:
-    """Saved sets of the documents ``ids``: their elements, or their bitmaps."""
+def _sets(docs: DataFrame, ids: DataFrame, n: int, label: str) -> DataFrame:
+    """Saved sets of the documents ``ids``."""
 
     def run(batches):
         for batch in batches:
             for a, b in text_groups(batch.column("text"), 4_000_000):
                 sets = [shingles(t, n) for t in batch.column("text")[a:b].to_pylist()]
-                made = [(s if exact else bitmap(s, BITS)).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(made, pa.binary())], names=["doc_id", "n", name])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "elements"])
 
-    name = "elements" if exact else "bits"
     wanted = docs.join(bounded(ids), "doc_id", "left_semi")
-    return save(wanted.mapInArrow(run, f"doc_id long, n long, {name} binary"), label)
+    return save(wanted.mapInArrow(run, "doc_id long, n long, elements binary"), label)
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, label: str) -> DataFrame:
     """The pairs (a, b), saved, that link: exact intersections of sorted arrays."""
     ids = save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{label}-ids")
-    sets = _sets(docs, ids, n, f"{label}-arrays", exact=True)
+    sets = _sets(docs, ids, n, f"{label}-arrays")
 
     def test(batches):
         for batch in batches:
@@ -219,16 +217,17 @@ def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     def sign(batches):
         for batch in batches:
             for a, b in text_groups(batch.column("text"), 4_000_000):
-                keys, sizes, heads = [], [], []
+                keys, sizes, heads, maps = [], [], [], []
                 for text in batch.column("text")[a:b].to_pylist():
                     s = shingles(text, n)
                     sizes.append(len(s))
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     heads.append(prefix(s, last.value, num, den) if len(s) else s)
+                    maps.append(bitmap(s, BITS).tobytes() if len(s) else None)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, heads)]), pa.int32()), pa.array(np.concatenate(heads).view("<i8")))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], names=["doc_id", "n", "key", "signatures"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists, pa.array(maps, pa.binary())], names=["doc_id", "n", "key", "signatures", "bits"])
 
-    signed = save(docs.mapInArrow(sign, "doc_id long, n long, key binary, signatures array<long>"), "ngram-sets")
+    signed = save(docs.mapInArrow(sign, "doc_id long, n long, key binary, signatures array<long>, bits binary"), "ngram-sets")
     classes = save(signed.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "ngram-classes")
 
     # Bands: documents with a common element whose sizes follow one another closely enough. Sizes of one
@@ -247,7 +246,7 @@ def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     bands = save(own.join(steps, ["signature", "kind"]).select("band", "doc_id", "n", "pivot"), "ngram-bands")
     free(own)
     wanted = save(bands.select("doc_id").distinct(), "ngram-wanted")
-    maps = _sets(docs, wanted, n, "ngram-maps", exact=False)
+    maps = save(signed.select("doc_id", "n", "bits").join(bounded(wanted), "doc_id", "left_semi"), "ngram-maps")
 
     def bound(batches):
         for batch in batches:
@@ -276,7 +275,7 @@ def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
         if not allowed.isEmpty():
             # What the bitmaps allow, spanned; its documents meet again with their arrays, each group once.
             groups = components(allowed, "ngram-allowed").select(F.col("node").alias("doc_id"), F.col("component").alias("whole"))
-            sets = _sets(docs, groups.select("doc_id"), n, "ngram-exact", exact=True)
+            sets = _sets(docs, groups.select("doc_id"), n, "ngram-exact")
             rest = rest.select("doc_id", "n", "component").distinct().join(groups, "doc_id")
             found = components(links.unionByName(_tiles(sets, "elements", rest, num, den)), "ngram-all")
             free(sets)
