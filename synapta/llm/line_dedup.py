@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from synapta.llm.memos import claim
 from synapta.llm.perfect_hash import PerfectHash
 from synapta.llm.shared import new_folder, open_input, partitions, save, write_file
 from synapta.llm.tokens import text_groups
@@ -47,6 +48,7 @@ def line_hashes(lines: list[str], least_chars: int) -> tuple[list[int], np.ndarr
 
 
 def _shard(uri: str) -> PerfectHash:
+    claim("lines", _cache.clear)
     if uri not in _cache:
         with open_input(uri) as file:
             _cache[uri] = PerfectHash.loads(file.read())

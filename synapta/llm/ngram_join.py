@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from synapta.llm.components import components
+from synapta.llm.memos import claim
 from synapta.llm.shared import bounded, first_ids, free, running_total, save
 from synapta.llm.tokens import text_groups
 
@@ -43,7 +44,7 @@ SAMPLE_DOCS, COMMON_DOCS, COMMON_MOST = 16_384, 2, 400_000
 #: Bits per element of the bitmaps (rounded up to a power of two in all).
 BITS = 1
 #: Words of at most so many bytes whose hashes a worker keeps, and how many.
-MEMO_BYTES, MEMO = 64, 500_000
+MEMO_BYTES, MEMO = 64, 300_000
 
 
 class _Words(dict):
@@ -72,6 +73,7 @@ def shingles(text: str | None, n: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(words) < n:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
+    claim("words", _words.clear)
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     with np.errstate(over="ignore"):
         x = h[: len(h) - n + 1].copy()

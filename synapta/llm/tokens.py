@@ -13,6 +13,8 @@ import os
 import re
 from array import array
 
+from synapta.llm.memos import claim
+
 #: A worker keeps the ids of the words of at most so many characters that it met last: up to twice so many.
 MEMO_CHARS, MEMO = 64, 400_000
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -84,8 +86,15 @@ class Encoder:
         return out
 
 
+def _forget() -> None:
+    for e in _encoders.values():
+        e.memo.clear()
+        e.memo.older = {}
+
+
 def encoder(path: str) -> Encoder:
     """This process's encoder for a vocabulary file."""
+    claim("tokens", _forget)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

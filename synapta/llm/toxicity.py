@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from synapta.llm.learning import logistic, sample
+from synapta.llm.memos import claim
 from synapta.llm.shared import save
 from synapta.llm.tokens import text_groups
 
@@ -53,6 +54,7 @@ def terms_of(word: str) -> list[str]:
 
 
 def word_counts(text: str | None) -> Counter:
+    claim("terms")  # its own memo goes with the broadcast model
     return Counter(_WORD.findall(text.lower())) if text else Counter()
 
 
