@@ -12,6 +12,7 @@ import pytest
 from synapta.llm import ann, chat, crf_quality, line_dedup, mixing, ngram_join, packing, perfect_hash, queries, token_store, topk, toxicity
 from synapta.llm.components import components
 from synapta.llm.tokens import Encoder, default_path
+from tests.llm import brute
 
 DOC = "doc_id long, text string, lang string, source string, n_lines long, score double, size int"
 LINE = "this very line is long enough to be shared by several documents"
@@ -349,28 +350,6 @@ def test_mix_keeps_every_column_and_spreads_repeated_rows(spark):
     assert all(mixed[r] <= 3 * held[r] for r in mixed)
 
 
-def brute_components(rows, n, num, den):
-    sets = {}
-    for i, t, _ in rows:
-        words = (t or "").encode().lower().split()
-        sets[i] = {tuple(words[j : j + n]) for j in range(len(words) - n + 1)} or ({tuple(words)} if words else set())
-    ids = sorted(i for i in sets if i is not None and sets[i])
-    root = {i: i for i in sets}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for x, a in enumerate(ids):
-        for b in ids[x + 1 :]:
-            both = len(sets[a] & sets[b])
-            if den * both >= num * (len(sets[a]) + len(sets[b]) - both):
-                a_, b_ = find(a), find(b)
-                root[max(a_, b_)] = min(a_, b_)
-    return {i: (len(s), None if i is None else find(i)) for i, s in sets.items()}
-
-
 @pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80)])
 def test_op8_equals_brute_force(spark, awkward, n, num):
     rng = random.Random(n)
@@ -384,7 +363,7 @@ def test_op8_equals_brute_force(spark, awkward, n, num):
                 copy[rng.randrange(len(copy))] = rng.choice(words)
             rows.append((1000 + 100 * g + c, " ".join(copy), "x"))
     got = ngram_join.link_components(docs(spark, rows), n, num, 100).collect()
-    want = brute_components(rows, n, num, 100)
+    want = brute.components(rows, n, num, 100)
     assert len(got) == len(rows)
     for r in got:
         assert (r.n_shingles, r.component_id) == want[r.doc_id], r
@@ -433,7 +412,7 @@ def test_bitmaps_bound_from_above():
 
 def test_keep_one_of_each_group(spark, awkward):
     kept = ngram_join.keep_one(docs(spark, awkward), 3, 90, 100)
-    want = brute_components(awkward, 3, 90, 100)
+    want = brute.components(awkward, 3, 90, 100)
     assert kept.columns == docs(spark, []).columns
     got = sorted(r.doc_id or -1 for r in kept.collect())
     assert got == sorted([i for i, (_, c) in want.items() if i is not None and c == i] + [-1])
@@ -459,7 +438,7 @@ def test_op8_with_a_passage_in_every_third_document(spark):
         rows.append((i, " ".join([*body, passage]) if i % 3 == 0 else " ".join(body), "s"))
     rows += [(1000 + i, rows[3 * (i % 40)][1] + (" z" if i % 2 else ""), "s") for i in range(80)]
     for n, num in ((3, 90), (5, 80)):
-        want = brute_components(rows, n, num, 100)
+        want = brute.components(rows, n, num, 100)
         for r in ngram_join.link_components(docs(spark, rows), n, num, 100).collect():
             assert (r.n_shingles, r.component_id) == want[r.doc_id], r
 
@@ -513,45 +492,11 @@ def test_op9_equals_brute_force_from_texts(spark):
     model = toxicity.fit(table, spark.createDataFrame([(i, y, 1) for i, y in labels.items()], "doc_id long, toxic int, quality int"))
     got = {r.doc_id: (r.score, [tuple(e) for e in r.evidence]) for r in toxicity.score(table, model).collect()}
 
-    def counts(text):
-        out = defaultdict(int)
-        for w in re.findall(r"\w+", (text or "").lower()):
-            for t in [w] + [w[:n] + "~" for n in (4, 5, 6, 7) if len(w) > n]:
-                out[t] += 1
-        return out
-
-    order = sorted(labels, key=lambda i: (labels[i], i))
-    bags = {i: counts(t) for i, t, _ in rows}
-    df = defaultdict(lambda: [0, 0])
-    for i in order:
-        for t in bags[i]:
-            df[t][labels[i]] += 1
-    n = [sum(1 for i in order if labels[i] == y) for y in (0, 1)]
-    ll = lambda k, m, p: (k * np.log(p) if k else 0) + ((m - k) * np.log(1 - p) if m > k else 0)
-    kept = [t for t, (a, b) in df.items() if a + b >= 3 and 2 * (ll(a, n[0], a / n[0]) + ll(b, n[1], b / n[1]) - ll(a, n[0], (a + b) / sum(n)) - ll(b, n[1], (a + b) / sum(n))) > 10.83]
+    scores, kept, near = brute.toxicity({i: t for i, t, _ in rows}, labels)
     assert kept and set(kept) == set(model.vocabulary)
-
-    def vector(bag):
-        v = np.array([(1 + np.log(bag[t])) * (np.log((1 + sum(n)) / (1 + sum(df[t]))) + 1) if bag.get(t) else 0.0 for t in kept])
-        return v / (np.linalg.norm(v) or 1)
-
-    examples, y, base = np.array([vector(bags[i]) for i in order]), np.array([labels[i] for i in order]), n[1] / sum(n)
-
-    def vote(v, without=None):
-        c = np.round(examples @ v, 12)
-        near = sorted((-c[j], j) for j in range(len(order)) if j != without and c[j] > 1e-12)[:16]
-        w = np.array([c[j] ** 2 for _, j in near])
-        return [(sum(w[k] for k, (_, j) in enumerate(near) if y[j]) + 0.02 * base) / (w.sum() + 0.02), np.tanh(w.sum())], near
-
-    x = np.array([[1, *vote(examples[j], j)[0]] for j in range(len(order))])
-    curve, ridge = np.zeros(3), np.array([1e-6, 1, 1])
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-x @ curve))
-        curve += np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(ridge), x.T @ (y - p) - ridge * curve)
     for i, _, _ in rows:
-        v, near = vote(vector(bags[i]))
-        assert got[i][0] == pytest.approx(1 / (1 + np.exp(-curve @ [1, *v])), abs=1e-6)
-        assert [round(c, 9) for _, c, _ in got[i][1]] == [round(-c, 9) for c, _ in near] and len(got[i][1]) == len(near)
+        assert got[i][0] == pytest.approx(scores[i], abs=1e-6)
+        assert [round(c, 9) for _, c, _ in got[i][1]] == [round(c, 9) for c in near[i]]
     assert max(len(e) for _, e in got.values()) == 16
 
 
