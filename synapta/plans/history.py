@@ -83,11 +83,10 @@ _PAIR = _JW + ", x AS (SELECT a, b, j, regexp_matches(lower(ac), 'not |no |never
 def _conflicts(spark, d):
     from synapta.functions.text import MERGE_NEGATIONS, has_any
 
-    m, base, source, target = _sides(spark, d)
+    _, base, source, target = _sides(spark, d)
     both = H.added(source, base).unionByName(H.added(target, base))
-    side = lambda n: m.select(F.col("memory_id").alias(n), has_any(F.col("content"), MERGE_NEGATIONS).alias(f"n{n}"))
-    pairs = M.similar_pairs(both, 0.7).filter("a % 3 <> b % 3").join(side("a"), "a").join(side("b"), "b")
-    return H.conflicts(pairs.withColumn("opposed", F.col("na") != F.col("nb")))
+    pairs = M.similar_pairs(both.withColumn("neg", has_any(F.col("content"), MERGE_NEGATIONS)), 0.7, "neg").filter("a % 3 <> b % 3")
+    return H.conflicts(pairs.withColumn("opposed", F.col("neg_a") != F.col("neg_b")))
 
 
 @query(V.sql(_PAIR + " SELECT a, b, kind FROM k WHERE kind IS NOT NULL", "memories"))
