@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from synapta import views as V
 from synapta.functions import scoring as C
-from synapta.functions.similarity import cosine, jaccard_ci
+from synapta.functions.text import word_set
 from synapta.operators import graph as G
+from synapta.operators import grid as P
 from synapta.plans import query
 from synapta.plans.scalars import jaccard_sql, words_sql
 
@@ -170,10 +171,26 @@ def q3_c10_merge_candidates(spark, d):
 @query("WITH p AS (SELECT v.vec_id, v.label, embedding::DOUBLE[] AS e, list_extract(['red ring', 'red bolt', 'blue ring'], v.vec_id % 3 + 1) AS name FROM embeddings v), c AS (SELECT a.vec_id AS a, b.vec_id AS b, 0.7e0 * list_cosine_similarity(a.e, b.e) + 0.3e0 * CASE WHEN a.name = b.name THEN 1e0 WHEN a.vec_id % 3 + b.vec_id % 3 = 3 THEN 0e0 ELSE 1e0 / 3 END AS s FROM p a JOIN p b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT a, b, round(s, 6) AS similarity FROM c WHERE s >= 0.3")
 def q4_semantic_candidates(spark, d):
     names = F.array(*map(F.lit, ("red ring", "red bolt", "blue ring")))
-    v = V.table(spark, d, "embeddings").withColumn("name", F.element_at(names, (F.col("vec_id") % 3 + 1).cast("int")))
-    p = v.alias("x").join(v.alias("y"), F.expr("x.label = y.label AND x.vec_id < y.vec_id"))
-    s = 0.7 * cosine(F.col("x.embedding"), F.col("y.embedding")) + 0.3 * jaccard_ci(F.col("x.name"), F.col("y.name"))
-    return p.select(F.col("x.vec_id").alias("a"), F.col("y.vec_id").alias("b"), s.alias("s")).filter("s >= 0.3").select("a", "b", F.round("s", 6).alias("similarity"))
+    name = F.element_at(names, (F.col("vec_id") % 3 + 1).cast("int"))
+    v = V.table(spark, d, "embeddings").withColumn("v", F.struct(F.col("embedding").alias("e"), word_set(F.lower(name)).alias("w")))
+
+    def tile(left, right):
+        import numpy as np
+
+        one, two = P.vectors([v["e"] for v in left]), P.vectors([v["e"] for v in right])
+        x, y, n, m, both = P.common_words([v["w"] for v in left], [v["w"] for v in right])
+        j = P.jaccard_matrix(n, m, both)
+
+        def score(part, mask):
+            s = 0.7 * P.cosines(one, two, part) + 0.3 * j[np.ix_(x[part], y)]
+            for i, k in zip(*np.nonzero(mask & (np.abs(s - 0.3) < 1e-9)), strict=True):  # at the bound the order of the sum matters
+                s[i, k] = 0.7 * P.cosine(left[part.start + i]["e"], right[k]["e"]) + 0.3 * j[x[part.start + i], y[k]]
+            mask = mask & (s >= 0.3)
+            return mask, [P.rounded(s[mask])]
+
+        return score
+
+    return P.all_pairs(v, "label", "vec_id", "v", tile, "a long, b long, similarity double")
 
 
 _IMP = "(({k} * 53 % 51 + 50) / 100.0e0) * (1 + 0.1e0 * ({k} % 7)) * (({k} * 37 % 101) / 100.0e0)"
