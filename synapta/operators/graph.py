@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from synapta.functions import scoring
-from synapta.functions.similarity import jaccard_ci
+from synapta.functions.similarity import jaccard_ci, jaccard_sets
 from synapta.storage import bounded, free, saved
 
 EDGE = ["subject_id", "predicate", "object_id"]
@@ -91,20 +91,27 @@ def merge_score(a: Column, b: Column, attributes: Column | None) -> Column:
     return names / 0.7 if attributes is None else names + 0.3 * attributes
 
 
-def merge_candidates(entities: DataFrame, least: float = 0.85) -> DataFrame:
-    """Pairs (a, b, similarity) of one type, a before b by ord, live both, of a merge score of at least ``least``.
+def _name_classes(entities: DataFrame, *facets: str) -> tuple[DataFrame, DataFrame]:
+    """Live entities as members (entity_id, ord, class, facets) of classes of one type, attribute and set of words, and the classes (class, entity_type, attribute, w)."""
+    live = entities.filter(~F.col("is_deprecated")).select("entity_id", "ord", "entity_type", "attribute", F.array_distinct(F.filter(F.split(F.lower("name"), r"\s+"), lambda x: x != "")).alias("w"), *facets)
+    live = live.filter("w IS NOT NULL AND ord IS NOT NULL AND entity_type IS NOT NULL").withColumn("key", F.array_join(F.sort_array("w"), " "))
+    kind = F.sha2(F.concat_ws("\0", F.length("entity_type").cast("string"), "entity_type", F.when(F.col("attribute").isNotNull(), F.concat(F.length("attribute"), F.lit(":"), "attribute")).otherwise("-"), "key"), 256)
+    members = saved(live.withColumn("class", kind).drop("key"), "names")
+    return members.drop("entity_type", "attribute", "w"), saved(members.groupBy("class").agg(F.first("entity_type").alias("entity_type"), F.first("attribute").alias("attribute"), F.first("w").alias("w")), "name-classes")
+
+
+def _class_links(live: DataFrame, least: float) -> DataFrame:
+    """Pairs of classes (ca, cb, similarity) of a merge score of at least ``least``, each class with itself too.
 
     The score bounds the Jaccard similarity of the names from below, by more where the attributes
     differ. Pairs with equal attributes meet on type, attribute and a word, others on type and a
     word; of the words only so many of a name's rarest as the bound needs (prefix filter). Where
     no common word is needed at all, equal attributes alone make a pair.
     """
-    live = entities.filter(~F.col("is_deprecated")).select("entity_id", "ord", "name", "entity_type", "attribute")
-    live = saved(live.withColumn("w", F.array_distinct(F.filter(F.split(F.lower("name"), r"\s+"), lambda x: x != ""))), "names")
-    words = live.select("entity_id", "entity_type", F.size("w").alias("n"), F.explode("w").alias("word"))
+    words = live.select("class", "entity_type", F.size("w").alias("n"), F.explode("w").alias("word"))
     freq = words.groupBy("entity_type", "word").agg(F.count(F.lit(1)).alias("f"))
-    rank = F.row_number().over(Window.partitionBy("entity_id").orderBy("f", "word"))
-    ranked = saved(words.join(freq, ["entity_type", "word"]).select("entity_id", "word", "n", rank.alias("r")).join(live.drop("name", "w"), "entity_id"), "name-words")
+    rank = F.row_number().over(Window.partitionBy("class").orderBy("f", "word"))
+    ranked = saved(words.join(freq, ["entity_type", "word"]).select("class", "word", "n", rank.alias("r")).join(live.drop("w"), "class"), "name-words")
 
     def met(needed: float, same: bool) -> DataFrame:
         least_j = max(0.0, needed - 1e-9)
@@ -115,16 +122,45 @@ def merge_candidates(entities: DataFrame, least: float = 0.85) -> DataFrame:
             head = ranked.filter(F.col("r") <= F.col("n") - F.ceil(least_j * F.col("n")) + 1)
             x, y = head.alias("x"), head.alias("y")
             on = (F.col("x.word") == F.col("y.word")) & (F.col("x.n") >= least_j * F.col("y.n")) & (F.col("y.n") >= least_j * F.col("x.n"))
-        on = on & (F.col("x.entity_type") == F.col("y.entity_type")) & (F.col("x.ord") < F.col("y.ord"))
+        on = on & (F.col("x.entity_type") == F.col("y.entity_type")) & (F.col("x.class") < F.col("y.class"))
         on = on & (F.col("x.attribute") == F.col("y.attribute")) if same else on & ~F.coalesce(F.col("x.attribute") == F.col("y.attribute"), F.lit(False))
-        return x.join(y, on).select(F.col("x.entity_id").alias("a"), F.col("y.entity_id").alias("b"), F.lit(1.0 if same else 0.0).alias("own")).distinct()
+        return x.join(y, on).select(F.col("x.class").alias("ca"), F.col("y.class").alias("cb"), F.lit(1.0 if same else 0.0).alias("own")).distinct()
 
     pairs = met((least - 0.5) / 0.5, True)
     if least <= 1 - 0.3:
         pairs = pairs.unionByName(met((least - 0.2) / 0.5, False))
-    side = lambda n: live.select(F.col("entity_id").alias(n), F.col("name").alias(f"{n}_name"))
-    full = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("similarity", merge_score(F.col("a_name"), F.col("b_name"), F.col("own")))
-    return full.filter(F.col("similarity") >= least).select("a", "b", "similarity")
+    pairs = pairs.unionByName(live.select(F.col("class").alias("ca"), F.col("class").alias("cb"), F.col("attribute").isNotNull().cast("double").alias("own")))
+    side = lambda n: live.select(F.col("class").alias(f"c{n}"), F.col("w").alias(f"w{n}"))
+    full = pairs.join(side("a"), "ca").join(side("b"), "cb").withColumn("similarity", 0.5 * jaccard_sets(F.col("wa"), F.col("wb")) + 0.2 + 0.3 * F.col("own"))
+    return saved(full.filter(F.col("similarity") >= least).select("ca", "cb", "similarity"), "class-links")
+
+
+def merge_candidates(entities: DataFrame, least: float = 0.85, *facets: str) -> DataFrame:
+    """Pairs (a, b, similarity, facets of both with the suffixes _a and _b) of one type, a before b by ord, live both, of a merge
+    score of at least ``least``. Classes of equal names and attributes meet; pairs are expanded last, and shuffled no more."""
+    members, live = _name_classes(entities, *facets)
+    side = lambda c, n: members.select(F.col("class").alias(c), F.col("entity_id").alias(n), F.col("ord").alias(f"ord_{n}"), *[F.col(f).alias(f"{f}_{n}") for f in facets])
+    links = _class_links(live, least)
+    both = links.unionByName(links.filter("ca <> cb").select(F.col("cb").alias("ca"), F.col("ca").alias("cb"), "similarity"))
+    return both.join(side("ca", "a"), "ca").join(side("cb", "b"), "cb").filter("ord_a < ord_b").select("a", "b", "similarity", *[f"{f}_{n}" for f in facets for n in "ab"])
+
+
+def best_keeps(entities: DataFrame, least: float) -> DataFrame:
+    """(keep, gone) for every entity that a candidate of larger importance ``i`` (ties: of smaller ord) would take in: the most important, ties to the larger id.
+
+    That is decided by classes: the best of a class for all below it, and the best of those before it for its equals; pairs are not expanded."""
+    members, live = _name_classes(entities, "i")
+    links = _class_links(live, least).select("ca", "cb")
+    links = links.unionByName(links.filter("ca <> cb").select(F.col("cb").alias("ca"), F.col("ca").alias("cb")))
+    tops = members.groupBy(F.col("class").alias("cb")).agg(F.max(F.struct("i", "entity_id")).alias("top"))
+    x = members.select(F.col("class").alias("ca"), F.col("entity_id").alias("gone"), "ord", "i").join(links.join(tops, "cb"), "ca")
+    below = x.filter("i < top.i").select("gone", F.col("top.i").alias("i"), F.col("top.entity_id").alias("keep"))
+    equal = x.filter("i = top.i").select("ca", "cb", "ord", F.lit(0).alias("kept"), "gone", "i", F.lit(None).cast("string").alias("keep"))
+    best = members.select(F.col("class").alias("cb"), F.col("entity_id").cast("string").alias("keep"), "ord", "i").join(tops, "cb").filter("i = top.i").join(links, "cb")
+    best = best.select("ca", "cb", "ord", F.lit(1).alias("kept"), F.lit(None).cast("string").alias("gone"), "i", "keep")
+    before = F.max("keep").over(Window.partitionBy("ca", "cb").orderBy("ord", "kept").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    equal = equal.unionByName(best).withColumn("keep", before).filter("kept = 0 AND keep IS NOT NULL").select("gone", "i", "keep")
+    return below.unionByName(equal).groupBy("gone").agg(F.max(F.struct("i", "keep")).alias("m")).select("m.keep", "gone")
 
 
 def keep_first(a_importance: Column, b_importance: Column) -> Column:
@@ -157,12 +193,7 @@ def roots(merges: DataFrame) -> DataFrame:
 
 def evolve(entities: DataFrame, edges: DataFrame, least: float = 0.8, deprecate_below: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """One cycle: merge candidates resolved to their roots, applied in one batch, and stale entities deprecated."""
-    pairs = merge_candidates(entities, least)
-    imp = entities.select("entity_id", (scoring.entity_importance(F.col("confidence"), F.col("access_count")) * F.col("relevance")).alias("i"))
-    ranked = pairs.join(imp.withColumnsRenamed({"entity_id": "a", "i": "ia"}), "a").join(imp.withColumnsRenamed({"entity_id": "b", "i": "ib"}), "b")
-    first = keep_first(F.col("ia"), F.col("ib"))
-    gone = ranked.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("keep"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("gone"), F.greatest("ia", "ib").alias("i"))
-    best = gone.groupBy("gone").agg(F.max_by("keep", F.struct("i", "keep")).alias("keep")).select("keep", "gone")
+    best = best_keeps(entities.withColumn("i", scoring.entity_importance(F.col("confidence"), F.col("access_count")) * F.col("relevance")), least)
     merged, moved = apply_merges(entities, edges, bounded(roots(best)))
     return update_where(merged, F.col("relevance") < deprecate_below, is_deprecated=F.lit(True)), moved
 

@@ -198,10 +198,9 @@ _IMP = "(({k} * 53 % 51 + 50) / 100.0e0) * (1 + 0.1e0 * ({k} % 7)) * (({k} * 37
 
 @query(f"WITH {_CAND} SELECT a, b, CASE WHEN {_IMP.format(k='ka')} >= {_IMP.format(k='kb')} THEN a ELSE b END AS keep FROM c WHERE s >= 0.6")
 def q5_keep_side(spark, d):
-    p = _parts(spark, d).select("entity_id", (C.entity_importance(F.col("confidence"), F.col("access_count")) * F.col("relevance")).alias("i"))
-    c = G.merge_candidates(_parts(spark, d), 0.6)
-    c = c.join(p.withColumnsRenamed({"entity_id": "a", "i": "ia"}), "a").join(p.withColumnsRenamed({"entity_id": "b", "i": "ib"}), "b")
-    return c.select("a", "b", F.when(G.keep_first(F.col("ia"), F.col("ib")), F.col("a")).otherwise(F.col("b")).alias("keep"))
+    p = _parts(spark, d).withColumn("i", C.entity_importance(F.col("confidence"), F.col("access_count")) * F.col("relevance"))
+    c = G.merge_candidates(p, 0.6, "i")
+    return c.select("a", "b", F.when(G.keep_first(F.col("i_a"), F.col("i_b")), F.col("a")).otherwise(F.col("b")).alias("keep"))
 
 
 _MERGES = [("s0", "s1"), ("s0", "s2"), ("s5", "s6")]
