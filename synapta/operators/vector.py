@@ -33,6 +33,25 @@ def hashed_embedding(text: Column, d: int = 64) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.size(F.filter(slot, lambda s: s == i)).cast("double"))
 
 
+def hashed_cosine(text: Column, query: list[float]) -> Column:
+    """Cosine of a text's ``hashed_embedding`` with one of ``query``'s length: one fold over its sorted slots, not a pass per slot; 0 without words."""
+    from synapta.functions.text import words
+
+    slots = F.sort_array(F.transform(words(F.lower(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(len(query))).cast("int")))
+    weights, length = F.lit([float(x) for x in query]), sum(x * x for x in query) ** 0.5
+    start = F.struct(F.lit(-1).alias("slot"), F.lit(0.0).alias("run"), F.lit(0.0).alias("squares"), F.lit(0.0).alias("dot"))
+
+    def step(acc, slot):
+        run = F.when(slot == acc["slot"], acc["run"] + 1.0).otherwise(1.0)
+        return F.struct(slot.alias("slot"), run.alias("run"), (acc["squares"] + 2.0 * run - 1.0).alias("squares"), (acc["dot"] + weights[slot]).alias("dot"))
+
+    def end(acc):
+        norm = F.sqrt(acc["squares"]) * length
+        return F.when(norm > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), acc["dot"] / norm))).otherwise(0.0)
+
+    return F.coalesce(F.aggregate(slots, start, step, end), F.lit(0.0))
+
+
 def embed_batches(texts: DataFrame, model, d: int) -> DataFrame:
     """``texts`` (doc_id, content) with vectors from ``model(list[str]) -> list[list[float]]``, a batch at a time."""
     import pyarrow as pa

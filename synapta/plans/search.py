@@ -270,8 +270,8 @@ def f7_staged_topk(spark, d):
 @query()
 def k9_page_rag(spark, d):
     p = H.pages(V.messages(spark, d))
-    q = VS.hashed_embedding(F.lit("the that of with"), 64)
-    s = cosine(VS.hashed_embedding(F.col("content"), 64), q) * (1 + 0.2 * F.col("page") / F.col("pages"))
+    q = spark.range(1).select(VS.hashed_embedding(F.lit("the that of with"), 64).alias("q")).first().q
+    s = VS.hashed_cosine(F.col("content"), q) * (1 + 0.2 * F.col("page") / F.col("pages"))
     return S.top(p.withColumn("score", s).withColumn("doc_id", F.col("session_id") * 1000 + F.col("page")), 10).select("doc_id", F.round("score", 6).alias("score"))
 
 
