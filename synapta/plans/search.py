@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from synapta import views as V
 from synapta.functions import text as X
-from synapta.functions.similarity import cosine
 from synapta.operators import hybrid as H
 from synapta.operators import search as S
 from synapta.operators import vector as VS
