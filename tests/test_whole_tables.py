@@ -57,6 +57,35 @@ def test_clusters_hold_long_memories(spark, long_documents):
     assert sum(r.size for r in run(spark, "n3_consolidate", path)) == len(sets)
 
 
+def test_clusters_by_lists_of_words(spark, tmp_path, monkeypatch):
+    """Small sides, frequent words, copies that come late, and null keys, against the fold by hand."""
+    from synapta.operators import memory, pairs
+
+    monkeypatch.setattr(pairs, "SIDE", 40)
+    monkeypatch.setattr(pairs, "FREQUENT", 16)
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(400)]
+    texts, rows = [], []
+    for i in range(260):
+        if texts and rng.random() < 0.5:
+            own = list(rng.choice(texts))
+            own[: rng.randrange(len(own))] = rng.sample(words, rng.randrange(1, 9))
+        else:
+            own = [words[int(400 * rng.random() ** 3)] for _ in range(rng.choice((2, 6, 30, 60)))]
+        texts.append(own)
+        rows.append((1000 - 3 * i if i % 2 else 5000 + i, rng.choice(("a", "b")), "t", " \t".join(own), 0.5, ["x"]))
+    rows += [(1, None, "t", "w1 w2", 0.5, ["x"]), (2, None, "t", "w1 w2", 0.5, ["x"]), (3, "a", None, "w1 w2", 0.5, ["x"]), (4, "a", "t", None, 0.5, ["x"]), (5, "a", "t", " \n", 0.5, ["x"])]
+    sets = {r[0]: (r[1], frozenset(r[3].split() if r[3] else ())) for r in rows if r[2]}
+    want = {r[0]: r[0] for r in rows}
+    for m in sorted(sets):
+        s, own = sets[m]
+        near = [want[x] for x in sets if x < m and s and s == sets[x][0] and own and len(own & sets[x][1]) / len(own | sets[x][1]) > 0.3]
+        want[m] = min([m, *near])
+    table = spark.createDataFrame(rows, "memory_id long, session_id string, memory_type string, content string, importance double, tags array<string>")
+    assert {r.memory_id: r.cluster for r in memory.cluster_sessions(table).collect()} == want
+    assert 40 < len(set(want.values())) < 240
+
+
 def test_phrases_of_texts_with_accents(spark, tmp_path):
     texts = ["Le Café reste Paris Nord", "Élan Vital\u00a0Berlin caféHaus", "Madrid y Sevillaé", "“Plain” Text_ Lima’s 東京Tokyo Cafe\u0301"]
     rows = [(i, t, "fr", "s", len(t)) for i, t in enumerate(texts)]
