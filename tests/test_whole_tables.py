@@ -84,6 +84,8 @@ def test_clusters_by_lists_of_words(spark, tmp_path, monkeypatch):
     table = spark.createDataFrame(rows, "memory_id long, session_id string, memory_type string, content string, importance double, tags array<string>")
     assert {r.memory_id: r.cluster for r in memory.cluster_sessions(table).collect()} == want
     assert 40 < len(set(want.values())) < 240
+    sums = {r.cluster: (r["size"], r.words or 0) for r in memory.consolidate(table).collect()}
+    assert sums == {c: (sum(v == c for v in want.values()), sum(len((r[3] or "").split()) for r in rows if want[r[0]] == c)) for c in set(want.values())}
 
 
 def test_phrases_of_texts_with_accents(spark, tmp_path):
