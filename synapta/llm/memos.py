@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable
 
 _clear: dict[str, Callable[[], None]] = {}
@@ -16,3 +19,14 @@ def claim(name: str, clear: Callable[[], None] = lambda: None) -> None:
     for other, empty in _clear.items():
         if other != name:
             empty()
+    release()
+
+
+def release() -> None:
+    """Gives memory that nothing holds back to the system: neither the C library nor Arrow does so by itself, and an executor's workers share a limit with its JVM."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)

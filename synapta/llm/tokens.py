@@ -87,9 +87,10 @@ class Encoder:
 
 
 def _forget() -> None:
-    for e in _encoders.values():
+    for e in _encoders.values():  # an encoder that is still in use begins anew
         e.memo.clear()
         e.memo.older = {}
+    _encoders.clear()
 
 
 def encoder(path: str) -> Encoder:

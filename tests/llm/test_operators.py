@@ -68,6 +68,20 @@ def test_long_unbroken_strings_are_not_kept(tok):
     assert len(ngram_join.shingles(" ".join(texts), 3)) and max(map(len, ngram_join._words), default=0) <= 64
 
 
+def test_a_worker_gives_memory_back_when_another_operator_begins(monkeypatch):
+    from synapta.llm import memos, tokens
+
+    memos.claim("nobody")
+    given = []
+    monkeypatch.setattr(memos, "release", lambda: given.append(1))
+    encoder = tokens.encoder(tokens.default_path())
+    ids = encoder.encode(["Some words to keep, some words"])
+    assert encoder.memo and tokens.encoder(tokens.default_path()) is encoder and len(given) == 1
+    memos.claim("words")
+    assert len(given) == 2 and not tokens._encoders and not encoder.memo
+    assert tokens.encoder(tokens.default_path()).encode(["Some words to keep, some words"]) == ids
+
+
 def test_op1_packs_every_id_once(spark, awkward, tok):
     got = queries.digest_pieces(packing.pack(docs(spark, awkward), size=256, open_windows=4)).collect()
     assert len({(r.sequence_id, r.offset) for r in got}) == len(got)
